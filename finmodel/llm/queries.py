@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, quality, simhash, spm, tokenbin, topk, warc
 from ._io import small_batches
 
 
@@ -14,15 +15,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1(_table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import op2
+    return simhash.op2(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3(_table(spark, sf_dir, "documents"))
+
+
+def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op4(_table(spark, sf_dir, "conversations"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.op7(_table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.op10(_table(spark, sf_dir, "documents"))
+
 
-    return op2(_table(spark, sf_dir, "documents"))
+_QUERIES = (op1_warc_normaliser, op2_simhash_components, op3_quality_rules, op4_chat_round_trip, op6_exact_top_k, op7_token_planes, op10_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_components,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_normaliser": warc.ORACLE_SQL, "op3_quality_rules": quality.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
