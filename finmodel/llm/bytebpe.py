@@ -80,6 +80,11 @@ class ByteBpe:
         known.update((c, ids) for c, ids in got.items() if len(c) <= CACHE_CHARS)
         return table
 
+    def counts(self, cut: list[str]) -> list[int]:
+        """Number of ids of each chunk of one text."""
+        first, rest = self._lookup(self.heads, cut[:1], ""), self._lookup(self.rest, cut[1:], " ")
+        return [len(first[cut[0]]) // 4, *(len(rest[x]) // 4 for x in cut[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) for t in texts]
         first = self._lookup(self.heads, [c[0] for c in cut], "")

@@ -135,6 +135,13 @@ def judge(measured: DataFrame, table: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.expr(f"NOT (base_failed OR {beyond})"))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), "lang", "source", "text")
+    measured = cut(measure(whole, ("row_", "lang", "source")), "measured")
+    return judge(measured, thresholds(measured)).where("kept").select("row_.*")
+
+
 def op3(docs: DataFrame) -> DataFrame:
     """The base counts, ``base_failed`` and ``kept`` for every row of ``docs`` (doc_id, text, lang, source).
 
