@@ -226,7 +226,7 @@ def op2(docs: DataFrame) -> DataFrame:
 #: The pipeline's near-duplicates: 256 bits over five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on
 #: average (standard deviation 6), of 0.6 in 59, unrelated ones in 128 (8); one of eight 32-bit bands then differs in at most 4
 #: bits for 99 of 100 pairs of similarity 0.8.
-PIPELINE = {"words": 5, "n64": 4, "bits": 32, "half": 2, "within": 50, "slices": 1}
+PIPELINE = {"words": 5, "n64": 4, "bits": 32, "half": 2, "within": 50, "slices": 2}
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
