@@ -40,6 +40,11 @@ class NumericPolicy:
         return f"transform(array({sql}), {v} -> IF(isnan({v}) OR abs({v}) = double('Infinity'), CAST(raise_error('a value is not finite') AS DOUBLE), {v}))[0]"
 
 
+    def decimal(self, column):
+        """Decimal money, for output: computation stays in doubles."""
+        return column.cast(f"decimal(38,{2 if self.money_scale is None else self.money_scale})")
+
+
 def fresh(prefix: str = "x") -> str:
     return f"{prefix}_{next(_names)}"
 

@@ -246,18 +246,27 @@ class FinancialModel:
         self._valid |= set(order)
         return Evaluation(self._select(df, wanted, self._keys()), wanted, recomputed, reused, self._account(recomputed, reused, name))
 
-    def _scenario(self, joined: DataFrame | None, override: dict[str, str], wanted: list[str], keys: list[str], backend: str | None) -> tuple[DataFrame, list[str], list[str], str]:
-        """The targets with overridden inputs (SQL over the base columns), all resolved against the base before any is applied."""
-        needed = self.module.closure(wanted)
-        dirty = self.module.cone(override)
+    def _scenario(self, rows: DataFrame | None, override: dict[str, str], wanted: list[str], keys: list[str], backend: str | None) -> tuple[DataFrame, list[str], list[str], str]:
+        """The targets with overridden inputs: SQL over the base columns and those of ``rows``, the scenarios, if there are any.
+
+        What no override touches is built once per entity, before scenarios multiply the rows; all overrides are one projection
+        over base values; then only their cone is built.
+        """
+        needed, dirty = self.module.closure(wanted), self.module.cone(override)
         order = self._computed(needed)
-        rebuilt = [n for n in order if n in dirty]
-        base, name = self._base_frame(needed | set(override)) if joined is None else (joined, "columns")
+        rebuilt = {n for n in order if n in dirty}
+        if self._kept is not None and self._base is not None and needed | set(override) <= self._base[0]:
+            base = self._kept
+        else:
+            base, _ = self._build(self._start(needed | set(override)), set(order) - rebuilt, backend)
+        if rows is not None:
+            # one side is the model's own single row, or the scenarios are few stated rows (marked by the caller)
+            base = rows.crossJoin(F.broadcast(base)) if self._rows is None else base.crossJoin(rows)
         changed = [n for n in override if n in needed]
-        stale = set(rebuilt) | set(changed)
+        stale = rebuilt | set(changed)
         keep = [quote(c) for c in base.columns if c not in stale and (c in needed or c not in self.module.nodes)]
         df = base.selectExpr(*keep, *[f"{override[n]} AS {quote(n)}" for n in changed])
-        df, name = self._build(df, set(rebuilt), backend)
+        df, name = self._build(df, rebuilt, backend)
         recomputed = [n for n in order if n in dirty or n not in self._valid]
         reused = [n for n in order if n not in dirty and n in self._valid]
         return self._select(df, wanted, keys), recomputed, reused, name
@@ -283,9 +292,8 @@ class FinancialModel:
         self._require_inputs({n for changes in spec.values() for n in changes})
         wanted = self.module.targets(targets)
         rows, inputs = scenario_rows(self.spark, spec)
-        base, _ = self._base_frame(self.module.closure(wanted) | set(inputs))
-        joined = base.crossJoin(F.broadcast(rows))  # as many rows as labels were written
-        return self._scenario(joined, {n: scenario_sql(quote(n), k) for k, n in enumerate(inputs)}, wanted, [SCENARIO, *self._keys()], None)[0]
+        few = F.broadcast(rows)  # as many rows as labels were written
+        return self._scenario(few, {n: scenario_sql(quote(n), k) for k, n in enumerate(inputs)}, wanted, [SCENARIO, *self._keys()], None)[0]
 
     def scenarios(self, spec: dict[str, dict[str, Any]]) -> dict[str, Evaluation]:
         """One result per label, each against the base, all from one frame."""
@@ -317,10 +325,7 @@ class FinancialModel:
         """A batch whose scenarios are rows of a DataFrame (``scenario_id`` and a column per changed input), of any number."""
         self._require_inputs(columns)
         wanted = self.module.targets(targets)
-        base, _ = self._base_frame(self.module.closure(wanted) | set(columns))
-        one_row = self._rows is None
-        joined = scenarios.crossJoin(F.broadcast(base)) if one_row else base.crossJoin(scenarios)  # the model's own single row
-        frame, recomputed, reused, name = self._scenario(joined, {n: quote(c) for n, c in columns.items()}, wanted, [SCENARIO_ID, *self._keys()], backend)
+        frame, recomputed, reused, name = self._scenario(scenarios, {n: quote(c) for n, c in columns.items()}, wanted, [SCENARIO_ID, *self._keys()], backend)
         return Evaluation(frame, wanted, recomputed, reused, self._account(recomputed, reused, name, size or 0), batch=True)
 
     def sweep(self, name: str, low: float, high: float, steps: int, targets: list[str] | None = None) -> Evaluation:
