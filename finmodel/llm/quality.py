@@ -115,7 +115,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own = fences(parts, ("lang", "source"))
     lang = fences(merge(parts, ("lang",)), ("lang",)).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("docs").alias("lang_docs"), F.col("fence").alias("lang_fence"))
     every = fences(merge(parts, ()), ()).select(F.col("ratio").alias("r2"), F.col("fence").alias("all_fence"))
-    groups = parts.select("lang", "source").distinct().crossJoin(measured.sparkSession.createDataFrame([(m,) for m in FLOORS], "ratio string"))
+    groups = parts.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, FLOORS))).alias("ratio"))
     joined = (
         groups.alias("g")
         .join(own.alias("o"), F.expr("g.lang <=> o.lang AND g.source <=> o.source AND g.ratio = o.ratio"), "left")
