@@ -30,8 +30,9 @@ from .components import components
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OFFSETS = np.arange(8, dtype=np.intp) * 256
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-#: Variants that one reducer sorts at a time, and fingerprints that one block of variants comes from.
-BUCKET_VARIANTS, BLOCK = 3_000_000, 2048
+#: Variants that one reducer sorts at a time, fingerprints that one block of variants comes from, and reducers of a pass that
+#: takes several small bands at once.
+BUCKET_VARIANTS, BLOCK, PASS_BUCKETS = 3_000_000, 2048, 8
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -98,8 +99,8 @@ def _band(words: np.ndarray, band: int, bits: int) -> np.ndarray:
     return (words[:, band // 2] >> np.uint64(32 * (band % 2))) & np.uint64(0xFFFFFFFF)
 
 
-def _emit(batches, bits: int, half: int, band: int, n64: int, buckets: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """Variants of one band that fall into buckets first .. last-1, as one block per (fingerprint block, bucket)."""
+def _emit(batches, bits: int, half: int, bands: tuple[int, ...], n64: int, buckets: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """Variants of some bands that fall into buckets first .. last-1 of a band, as one block per (fingerprint block, bucket)."""
     masks, names = ball(bits, half), ["bucket", "nodes", "words", "variants", "local"]
     kind, mix = (np.uint32, np.uint32(_MIX & np.uint64(0xFFFFFFFF))) if bits == 32 else (np.uint64, _MIX)
     masks = masks.astype(kind)
@@ -108,20 +109,21 @@ def _emit(batches, bits: int, half: int, band: int, n64: int, buckets: int, firs
         words_all = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(n64)], 1)
         for at in range(0, len(nodes_all), BLOCK):
             nodes, words = nodes_all[at : at + BLOCK], words_all[at : at + BLOCK]
-            v = (_band(words, band, bits).astype(kind)[:, None] ^ masks).ravel() * mix  # odd factor: still one number per variant
-            bucket = ((v >> kind(bits - 32)).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
-            keep = np.flatnonzero((bucket >= first) & (bucket < last))
-            v, bucket, local = v[keep], bucket[keep].astype(np.uint32) - np.uint32(first), (keep // len(masks)).astype(np.uint16)
-            order = np.argsort(bucket.astype(np.uint16) if last - first < 65536 else bucket, kind="stable")
-            v, bucket, local = v[order], bucket[order], local[order]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-            rows: list[list] = [[] for _ in names]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                used, back = np.unique(local[s:e], return_inverse=True)
-                for column, x in zip(rows, (int(bucket[s]) + first, nodes[used].tobytes(), words[used].tobytes(), v[s:e].tobytes(), back.astype(np.uint16).tobytes()), strict=True):
-                    column.append(x)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names)
+            for band in bands:
+                v = (_band(words, band, bits).astype(kind)[:, None] ^ masks).ravel() * mix  # odd factor: still one number per variant
+                bucket = ((v >> kind(bits - 32)).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+                keep = np.flatnonzero((bucket >= first) & (bucket < last))
+                v, bucket, local = v[keep], bucket[keep].astype(np.uint32) - np.uint32(first), (keep // len(masks)).astype(np.uint16)
+                order = np.argsort(bucket.astype(np.uint16) if last - first < 65536 else bucket, kind="stable")
+                v, bucket, local = v[order], bucket[order], local[order]
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
+                rows: list[list] = [[] for _ in names]
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    used, back = np.unique(local[s:e], return_inverse=True)
+                    for column, x in zip(rows, (band * buckets + int(bucket[s]) + first, nodes[used].tobytes(), words[used].tobytes(), v[s:e].tobytes(), back.astype(np.uint16).tobytes()), strict=True):
+                        column.append(x)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names)
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -141,17 +143,24 @@ def collide(variants: np.ndarray, who: np.ndarray, nodes: np.ndarray, words: np.
     a, b = who[start[member]], who[member]
     near = _distance(words[a], words[b]) <= within
     out = [np.stack([nodes[a[near]], nodes[b[near]]], 1)]
-    # A member far from the first of its run may be near another: compare it with the whole run.
+    # A member far from the first of its run may be near others: compare it with the run, and link it once to each class there.
     far_at = member[~near]
     if len(far_at):
-        ends = np.append(np.flatnonzero(head)[1:], len(v))
-        run = np.searchsorted(np.flatnonzero(head), far_at, side="right") - 1
-        firsts, lasts = np.flatnonzero(head)[run], ends[run]
-        for i in np.flatnonzero(lasts - firsts > 2):
-            x, rest = who[far_at[i]], who[firsts[i] + 1 : lasts[i]]
-            hit = rest[(_distance(words[rest], words[x]) <= within) & (rest != x)]
-            if len(hit):
-                out.append(np.stack([np.full(len(hit), nodes[x]), nodes[hit]], 1))
+        heads = np.flatnonzero(head)
+        run = np.searchsorted(heads, far_at, side="right") - 1
+        ends = np.append(heads[1:], len(v))
+        close = np.ones(len(v), bool)
+        close[far_at] = False
+        large = np.flatnonzero(ends[run] - heads[run] > 2)
+        for r in np.unique(run[large]):
+            at = np.arange(heads[r], ends[r])
+            group, label = who[at], np.where(close[at], heads[r], at)
+            for i in np.flatnonzero(~close[at]):
+                hit = np.flatnonzero(_distance(words[group], words[group[i]]) <= within)
+                for j in hit[np.unique(label[hit], return_index=True)[1]]:
+                    if label[j] != label[i]:
+                        out.append(np.array([[nodes[group[i]], nodes[group[j]]]]))
+                        label[label == label[j]] = label[i]
     pairs = np.concatenate(out)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return np.unique(np.sort(pairs, 1), axis=0)
@@ -176,17 +185,21 @@ def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within
     """(node, f0 ...) of distinct fingerprints -> (a, b) links, and the folders that hold them.
 
     The first ``band_words`` of the ``n64`` words are hashed in bands of ``bits``; a pair is a candidate if a band differs in at
-    most ``2 * half`` bits, and a link if all words together differ in at most ``within``. Each band is shuffled in ``slices``
-    passes.
+    most ``2 * half`` bits, and a link if all words together differ in at most ``within``. A band is shuffled in up to ``slices``
+    passes; bands that are small share one.
     """
     spark = prints.sparkSession
     n, bands = prints.count(), 64 * band_words // bits
-    buckets = max(slices, math.ceil(n * len(ball(bits, half)) / BUCKET_VARIANTS / slices) * slices)
+    full = math.ceil(n * len(ball(bits, half)) / BUCKET_VARIANTS)  # reducers' worth of variants in a band
+    slices = max(1, min(slices, full))
+    buckets = max(1, math.ceil(full / slices)) * slices
+    together = max(1, min(bands, PASS_BUCKETS // buckets)) if slices == 1 else 1
     src = prints.repartition(max(8, min(20_000, math.ceil(n / (4 * BLOCK)))), "node")
     done, paths = [], []
-    for band in range(bands):
+    for band in range(0, bands, together):
         for p in range(slices):
-            emit = partial(_emit, bits=bits, half=half, band=band, n64=n64, buckets=buckets, first=buckets * p // slices, last=buckets * (p + 1) // slices)
+            some = tuple(range(band, min(band + together, bands)))
+            emit = partial(_emit, bits=bits, half=half, bands=some, n64=n64, buckets=buckets, first=buckets * p // slices, last=buckets * (p + 1) // slices)
             blocks = src.mapInArrow(emit, "bucket int, nodes binary, words binary, variants binary, local binary")
             out, path = cut_path(blocks.groupBy("bucket").applyInArrow(_reducer(n64, bits, within), "a long, b long"), "links")
             done.append(out)

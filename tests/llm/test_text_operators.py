@@ -268,3 +268,20 @@ def test_language_held_out_accuracy(spark):
     model = langid.fit(half.selectExpr("doc_id AS id", "text", "lang"))
     got = langid.identify(langid.documents_evidence(docs.where("doc_id % 2 = 1")).selectExpr("doc_id", "lang", "text", "CAST(NULL AS string) AS declared", "address"), model, ("doc_id", "lang")).collect()
     assert sum(r.lang == r.language for r in got) / len(got) > 0.98
+
+
+def test_collisions_span_every_class_of_a_run():
+    rng = random.Random(11)
+    for _ in range(40):
+        n = rng.randint(2, 40)
+        centres = [rng.getrandbits(128) for _ in range(3)]
+        prints = [rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 6))) for _ in range(n)]
+        words = np.array([[p & (2**64 - 1), p >> 64] for p in prints], np.uint64)
+        runs = np.array([rng.randrange(3) for _ in range(n)], np.uint64)
+        nodes = np.arange(n) * 10
+        pairs = simhash.collide(runs, np.arange(n), nodes, words, 8)
+        near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 8
+        assert all(near(a // 10, b // 10) for a, b in pairs.tolist()) and len(pairs) < n
+        links = {tuple(p) for p in pairs.tolist()}
+        want = classes(nodes.tolist(), lambda i, j: runs[i] == runs[j] and near(i, j))
+        assert classes(nodes.tolist(), lambda i, j: (nodes[j], nodes[i]) in links) == want
