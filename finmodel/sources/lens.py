@@ -1,7 +1,7 @@
 """Finance rows from order tables: a profit-and-loss row, and series, per region, nation or segment.
 
-The fact table is read once, with only the columns used, and summed before it meets anything that is not keyed like it: line
-items join orders on the order key, the rest are dimensions, which Spark broadcasts when their size allows.
+The fact table is read once, with only the columns used, and summed per order before it meets anything larger than the price
+list; dimensions are broadcast when Spark finds that their size allows.
 """
 
 from __future__ import annotations
@@ -26,37 +26,42 @@ def _total(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(18,0)")).cast("double") / 10_000
 
 
-def lines(spark: SparkSession, sf_dir: str, entity: str = "region") -> DataFrame:
-    """Line items with entity, month, and the amounts that the lens sums, in ten-thousandths: products of two-digit decimals are
-    exact there, so totals do not depend on the order of rows."""
+def orders_with_amounts(spark: SparkSession, sf_dir: str, entity: str = "region") -> DataFrame:
+    """A row per order: entity, month, year, and the sums of its line items.
+
+    Amounts are in ten-thousandths: products of two-digit decimals are exact there, so totals do not depend on the order of rows.
+    Line items are summed per order first. Their files are clustered by order, so the map-side sums shrink the one large shuffle,
+    and the join with orders reuses its partitioning.
+    """
     t = lambda name: table(spark, sf_dir, name)
     customers = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     owners = customers.select("c_custkey", F.col(ENTITIES[entity]).alias("entity"))
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(owners, F.col("o_custkey") == F.col("c_custkey"))
     prices = t("part").select("p_partkey", "p_retailprice")
-    items = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    joined = items.join(prices, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(
-        "entity",
-        F.date_trunc("month", "o_orderdate").alias("month"),
-        F.year("o_orderdate").alias("year"),
-        (_hundredths("l_extendedprice") * (100 - _hundredths("l_discount"))).alias("revenue"),
-        (_hundredths("l_quantity") * _hundredths("p_retailprice")).alias("cogs"),
-        (_hundredths("l_extendedprice") * _hundredths("l_tax")).alias("opex"),
-        F.datediff("l_shipdate", "o_orderdate").alias("days"),
+    items = t("lineitem").join(prices, F.col("l_partkey") == F.col("p_partkey"))
+    per_order = items.groupBy("l_orderkey").agg(
+        F.sum(_hundredths("l_extendedprice") * (100 - _hundredths("l_discount"))).alias("revenue"),
+        F.sum(_hundredths("l_quantity") * _hundredths("p_retailprice")).alias("cogs"),
+        F.sum(_hundredths("l_extendedprice") * _hundredths("l_tax")).alias("opex"),
+        F.sum(F.unix_date(F.col("l_shipdate").cast("date")).cast("long")).alias("shipped"),
+        F.count("l_shipdate").alias("n"),
+    )
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "entity", F.date_trunc("month", "o_orderdate").alias("month"), F.year("o_orderdate").alias("year"), "revenue", "cogs", "opex", (F.col("shipped") - F.col("n") * day).alias("days"), "n"
     )
 
 
 def profit_and_loss(spark: SparkSession, sf_dir: str, entity: str = "region") -> DataFrame:
     """(entity, revenue, cogs, opex, receivable_days, payable_days, inventory)."""
-    days = (F.sum("days") / F.count("days")).alias("receivable_days")
-    sums = lines(spark, sf_dir, entity).groupBy("entity").agg(*[_total(c).alias(c) for c in ("revenue", "cogs", "opex")], days)
+    days = (F.sum("days") / F.sum("n")).alias("receivable_days")
+    sums = orders_with_amounts(spark, sf_dir, entity).groupBy("entity").agg(*[_total(c).alias(c) for c in ("revenue", "cogs", "opex")], days)
     return sums.select("*", F.lit(45.0).alias("payable_days"), (F.col("cogs") * 0.125).alias("inventory"))
 
 
 def series(spark: SparkSession, sf_dir: str, entity: str = "region", period: str = "year") -> DataFrame:
     """(entity, t, value, cogs, opex): revenue by period, ``t`` counting an entity's periods from 0."""
-    rows = lines(spark, sf_dir, entity).groupBy("entity", period).agg(*[_total(c).alias(n) for c, n in (("revenue", "value"), ("cogs", "cogs"), ("opex", "opex"))])
+    rows = orders_with_amounts(spark, sf_dir, entity).groupBy("entity", period).agg(*[_total(c).alias(n) for c, n in (("revenue", "value"), ("cogs", "cogs"), ("opex", "opex"))])
     return rows.select("entity", (F.expr(f"row_number() OVER (PARTITION BY entity ORDER BY {period})") - 1).alias("t"), "value", "cogs", "opex")
 
 
