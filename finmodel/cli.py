@@ -60,9 +60,9 @@ def _graph(a) -> None:
 
 
 def _benchmark(a) -> None:
-    from .plans.synthetic import incremental_benchmark
+    from .plans.synthetic import batch_benchmark, incremental_benchmark, locality_benchmark
 
-    print(json.dumps(incremental_benchmark(a.segments, a.depth, a.turns)))
+    print(json.dumps({"turns": incremental_benchmark(a.segments, a.depth, a.turns), "locality": locality_benchmark(a.segments, a.depth), "batches": batch_benchmark()}))
 
 
 def _doctor(a) -> None:

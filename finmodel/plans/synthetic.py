@@ -42,3 +42,27 @@ def incremental_benchmark(segments: int, depth: int, turns: int, seed: int = 7)
         assert r.values["total"] == r.values["total"]
         rebuilt += len(r.recomputed)
     return {"nodes": nodes, "turns": turns, "recomputed": rebuilt, "full": nodes * turns, "seconds_per_turn": (time.perf_counter() - began) / max(1, turns)}
+
+
+def locality_benchmark(segments: int, depth: int, shares: tuple[float, ...] = (0.01, 0.1, 0.5, 1.0), seed: int = 7) -> list[dict]:
+    """Nodes rebuilt and seconds when a share of the inputs changes at once, on a balanced tree."""
+    m, rng, rows = segmented(segments, depth, tree=True), random.Random(seed), []
+    m.evaluate()
+    nodes = len(m.module.of_kind("computed"))
+    for share in shares:
+        chosen = rng.sample(range(segments), max(1, round(share * segments)))
+        began = time.perf_counter()
+        r = m.what_if({f"seg{i}_in": "+1%" for i in chosen})
+        assert r.values["total"] > 0
+        rows.append({"share": share, "nodes": nodes, "recomputed": len(r.recomputed), "seconds": time.perf_counter() - began})
+    return rows
+
+
+def batch_benchmark(sizes: tuple[int, ...] = (1_000, 100_000, 1_000_000), segments: int = 10, depth: int = 5) -> list[dict]:
+    """Seconds to evaluate a sweep of one input over a graph, by number of scenarios; the totals are summed, not collected."""
+    m, rows = segmented(segments, depth), []
+    for n in sizes:
+        began = time.perf_counter()
+        m.sweep("seg0_in", 1e6, 2e6, n).frame.groupBy().sum("total").collect()
+        rows.append({"scenarios": n, "seconds": time.perf_counter() - began})
+    return rows

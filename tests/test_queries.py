@@ -73,6 +73,9 @@ def test_command_line(spark, tmp_path, capsys):
     for args in (["version"], ["doctor"], ["inspect", str(path)], ["graph", str(path)], ["graph", str(path), "--format", "json"], ["compile", str(path), "--show-passes"]):
         assert cli.main(args) == 0
     assert "constant_folding" in capsys.readouterr().out
+    assert cli.main(["benchmark", "--segments", "4", "--depth", "2", "--turns", "2"]) == 0
+    bench = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert bench["turns"]["recomputed"] < bench["turns"]["full"] and bench["locality"][-1]["recomputed"] == bench["locality"][-1]["nodes"]
     assert cli.main(["run", str(path), "--set", "zzz=1"]) == 1
 
 
