@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._io import cut
 from .bytebpe import as_texts
 
-#: Rows per language that the trigram model is fitted on (those with the smallest hash of their id), and most languages.
+#: Rows per language that the trigram model is fitted on, and most languages.
 TRAIN_ROWS, MAX_LANGUAGES = 500, 64
 #: Buckets of hashed trigrams; trigrams of a text that count as independent; how often a declaration or suffix is right.
 BUCKETS, EVIDENCE, DECLARED_RIGHT, SUFFIX_RIGHT = 1 << 14, 60, 0.9, 0.7
@@ -41,11 +41,8 @@ def trigrams(text: str) -> np.ndarray:
 class Model:
     """Trigram log-probabilities (language x bucket)."""
 
-    def __init__(self, languages: list[str], texts: list[tuple[str, str]]) -> None:
+    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
         self.languages = languages
-        counts = np.zeros((len(languages), BUCKETS))
-        for lang, text in texts:
-            counts[languages.index(lang)] += trigrams(text)
         self.log = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)).astype(np.float32)
 
     def likelihood(self, text: str) -> list[float] | None:
@@ -60,15 +57,33 @@ class Model:
         return (p / p.sum()).tolist()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
+            sums[lang] = sums.get(lang, 0) + trigrams(text)
+    for lang, g in sums.items():
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(g[at], pa.int64())], ["lang", "bucket", "n"])
+
+
 def fit(labelled: DataFrame) -> Model:
-    """A model from (id, text, lang) rows: at most TRAIN_ROWS of each of at most MAX_LANGUAGES languages."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    texts = []
-    for lang in langs:
-        chosen = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").select("lang", F.substring("text", 1, 20_000)).limit(TRAIN_ROWS)
-        texts += [(r[0], r[1]) for r in chosen.collect()]
-    return Model(langs, texts)
+    """A model from (id, text, lang) rows: about TRAIN_ROWS whole texts of each of at most MAX_LANGUAGES languages.
+
+    The rows are those whose id hashes below a share of its range, so the sample does not depend on partitions. Trigrams are
+    counted on the executors; the driver gets sums, at most BUCKETS per language, and no text.
+    """
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("id", "text", F.col("lang").cast("string").alias("lang"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], np.zeros((0, BUCKETS)))
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(1, round((1 << 20) * min(1.0, TRAIN_ROWS / n)))))])[F.col("lang")]
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("lang", "text")
+    counts = np.zeros((len(langs), BUCKETS))
+    for r in chosen.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[langs.index(r["lang"]), r["bucket"]] = r["n"]
+    return Model(langs, counts)
 
 
 def _likelihoods(batches: Iterator[pa.RecordBatch], model, carry: list[str]) -> Iterator[pa.RecordBatch]:
