@@ -6,6 +6,7 @@ reach it through ``pyarrow.fs`` (file:, hdfs:, s3:, gs:), the driver through Spa
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import tempfile
 import uuid
@@ -13,6 +14,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Collects the names of the shared folders that are made meanwhile."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``; a local one is set only where the setting is absent (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +35,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + root
-    return posixpath.join(root, f"finmodel-{label}-{uuid.uuid4().hex[:12]}")
+    path = posixpath.join(root, f"finmodel-{label}-{uuid.uuid4().hex[:12]}")
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
