@@ -15,27 +15,34 @@ from pyspark.sql import functions as F
 from ._io import cut_path, remove
 
 _EDGE = "a long, b long"
+FOREST_NODES = 200_000
 
 
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces each block of edges by a spanning forest of stars (node, smallest node); blocks are bounded."""
-    for batch in batches:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.setdefault(root, root)) != root:
-                root = up
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    """Replaces the edges of a partition, by blocks of FOREST_NODES nodes, by spanning forests of stars (node, smallest node)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["a", "b"])
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = find(a), find(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        rows = [(x, r) for x in parent if (r := find(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+        if len(parent) > FOREST_NODES:
+            yield stars()
+    yield stars()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -59,7 +66,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    now, path = cut_path(clean.mapInArrow(local_forest, _EDGE), "edges")
+    now, path = cut_path(clean.distinct().mapInArrow(local_forest, _EDGE), "edges")
     mark = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

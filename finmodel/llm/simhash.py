@@ -30,9 +30,9 @@ from .components import components
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OFFSETS = np.arange(8, dtype=np.intp) * 256
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-#: Variants that one reducer sorts at a time, fingerprints that one block of variants comes from, and reducers of a pass that
-#: takes several small bands at once.
-BUCKET_VARIANTS, BLOCK, PASS_BUCKETS = 3_000_000, 2048, 8
+#: Variants, and bytes with what they refer to, that one reducer takes; reducers of a band at least; fingerprints that one block
+#: of variants comes from; reducers of a pass that takes several small bands at once, and beyond which a band is cut into slices.
+BUCKET_VARIANTS, BUCKET_BYTES, LEAST_BUCKETS, BLOCK, PASS_BUCKETS, SLICE_BUCKETS = 3_000_000, 90_000_000, 4, 2048, 16, 16
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -181,7 +181,7 @@ def _reducer(n64: int, bits: int, within: int):
     return reduce
 
 
-def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within: int = 4, slices: int = 4, band_words: int = 1) -> tuple[DataFrame, list[str]]:
+def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within: int = 4, slices: int = 8, band_words: int = 1) -> tuple[DataFrame, list[str]]:
     """(node, f0 ...) of distinct fingerprints -> (a, b) links, and the folders that hold them.
 
     The first ``band_words`` of the ``n64`` words are hashed in bands of ``bits``; a pair is a candidate if a band differs in at
@@ -190,11 +190,14 @@ def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within
     """
     spark = prints.sparkSession
     n, bands = prints.count(), 64 * band_words // bits
-    full = math.ceil(n * len(ball(bits, half)) / BUCKET_VARIANTS)  # reducers' worth of variants in a band
-    slices = max(1, min(slices, full))
+    variants, refers = n * len(ball(bits, half)), 8 + 8 * n64  # a bucket repeats what a fingerprint's variants in it refer to
+    full = max(LEAST_BUCKETS, math.ceil(variants / BUCKET_VARIANTS))
+    while (variants * (bits // 8 + 2) + min(full, len(ball(bits, half))) * n * refers) / full > BUCKET_BYTES:
+        full = math.ceil(full * 1.25)
+    slices = max(1, min(slices, math.ceil(full / SLICE_BUCKETS)))
     buckets = max(1, math.ceil(full / slices)) * slices
     together = max(1, min(bands, PASS_BUCKETS // buckets)) if slices == 1 else 1
-    src = prints.repartition(max(8, min(20_000, math.ceil(n / (4 * BLOCK)))), "node")
+    src = prints.repartition(max(8, min(20_000, math.ceil(n / (4 * BLOCK)))))
     done, paths = [], []
     for band in range(0, bands, together):
         for p in range(slices):
@@ -208,7 +211,7 @@ def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within
     return reduce(DataFrame.union, done), paths
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, n64: int = 1, bits: int = 64, half: int = 2, within: int = 4, slices: int = 4, band_words: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, n64: int = 1, bits: int = 64, half: int = 2, within: int = 4, slices: int = 8, band_words: int = 1) -> DataFrame:
     """(doc_id, f0 ..., component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
 
     Null and blank texts have fingerprint zero and link like any other; repeated doc_ids stay as they are; a null doc_id keeps
@@ -237,10 +240,10 @@ def op2(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near-duplicates: 1,024 bits over five-word shingles, of which 256 are hashed in eight bands. Texts of Jaccard
-#: similarity 0.8 differ in 155 bits on average (standard deviation 12), of 0.7 in 197, unrelated ones in 512; one of the bands
-#: differs in at most 4 bits for 99 of 100 pairs of similarity 0.8.
-PIPELINE = {"words": 5, "n64": 16, "bits": 32, "half": 2, "within": 176, "slices": 2, "band_words": 4}
+#: The pipeline's near-duplicates: 1,024 bits over five-word shingles, hashed in 32 bands with all variants of at most one bit.
+#: Texts of Jaccard similarity 0.8 differ in 155 bits on average (standard deviation 12), of 0.7 in 197, unrelated ones in 512;
+#: one of the bands differs in at most 2 bits for 98 of 100 pairs of similarity 0.8 and 999 of 1,000 of 0.85.
+PIPELINE = {"words": 5, "n64": 16, "bits": 32, "half": 1, "within": 176, "slices": 2, "band_words": 16}
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
