@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept per worker, and the longest that are kept; the cache is emptied when it is full.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 800_000, 48
 _BLANK_RUN = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -65,32 +65,29 @@ class ByteBpe:
                 got[c], start = raw[start:end], end
         return got
 
-    def _lookup(self, known: dict[str, bytes], wanted: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of every wanted chunk: the cache itself if all are in it, else a table of its own."""
-        new = list(set(wanted) - known.keys())
-        if not new:
-            return known
-        got = self._fresh(new, lead)
-        if all(len(c) <= CACHE_CHARS for c in new) and len(known) + len(new) <= CACHE_CHUNKS:
-            known.update(got)
-            return known
-        table = {c: known[c] for c in set(wanted) & known.keys()} | got
-        if len(known) + len(new) > CACHE_CHUNKS:
+    def _lookup(self, known: dict[str, bytes], wanted: list[list[str]], lead: str) -> list[list[bytes]]:
+        """Ids of every wanted chunk, list by list."""
+        found = [list(map(known.get, chunk_list)) for chunk_list in wanted]
+        gaps = [k for k, f in enumerate(found) if None in f]
+        if not gaps:
+            return found
+        got = self._fresh(list({c for k in gaps for c, ids in zip(wanted[k], found[k], strict=True) if ids is None}), lead)
+        for k in gaps:
+            found[k] = [got[c] if ids is None else ids for c, ids in zip(wanted[k], found[k], strict=True)]
+        if len(known) + len(got) > CACHE_CHUNKS:
             known.clear()
         known.update((c, ids) for c, ids in got.items() if len(c) <= CACHE_CHARS)
-        return table
+        return found
 
     def counts(self, cut: list[str]) -> list[int]:
         """Number of ids of each chunk of one text."""
-        first, rest = self._lookup(self.heads, cut[:1], ""), self._lookup(self.rest, cut[1:], " ")
-        return [len(first[cut[0]]) // 4, *(len(rest[x]) // 4 for x in cut[1:])]
+        return [len(ids) // 4 for ids in self._lookup(self.heads, [cut[:1]], "")[0] + self._lookup(self.rest, [cut[1:]], " ")[0]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) for t in texts]
-        first = self._lookup(self.heads, [c[0] for c in cut], "")
-        heads = [first[c[0]] for c in cut]
-        rest = self._lookup(self.rest, [x for c in cut for x in c[1:]], " ")
-        return [h + b"".join([rest[x] for x in c[1:]]) for h, c in zip(heads, cut, strict=True)]
+        heads = self._lookup(self.heads, [c[:1] for c in cut], "")
+        rest = self._lookup(self.rest, [c[1:] for c in cut], " ")
+        return [h[0] + b"".join(r) for h, r in zip(heads, rest, strict=True)]
 
 
 @lru_cache(2)
