@@ -240,10 +240,126 @@ def op2(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near-duplicates: 1,024 bits over five-word shingles, hashed in 32 bands with all variants of at most one bit.
-#: Texts of Jaccard similarity 0.8 differ in 155 bits on average (standard deviation 12), of 0.7 in 197, unrelated ones in 512;
-#: one of the bands differs in at most 2 bits for 98 of 100 pairs of similarity 0.8 and 999 of 1,000 of 0.85.
-PIPELINE = {"words": 5, "n64": 16, "bits": 32, "half": 1, "within": 176, "slices": 2, "band_words": 16}
+#: The pipeline's search for candidates: 1,024 bits over five-word shingles, hashed in 32 bands with all variants of at most one bit.
+#: Texts of Jaccard similarity 0.8 differ in 155 bits on average (standard deviation 12; 192 at most for very short ones), unrelated ones in 512.
+PIPELINE = {"n64": 16, "bits": 32, "half": 1, "within": 256, "slices": 2, "band_words": 16}
+#: The rule: two texts are near-duplicates if their sets of WORDS-word shingles have a Jaccard similarity of LEAST_PERCENT or more.
+WORDS, LEAST_PERCENT = 5, 80
+#: Members of a group of candidates that are compared in one cell (larger groups: pairs of blocks), and members of a task's cells.
+CELL, CELL_ROWS = 1024, 4000
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, WORDS))
+
+
+def _class_batches(batches: Iterator[pa.RecordBatch], n64: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "text_key", "node", *(f"f{k}" for k in range(n64))]
+    for batch in batches:
+        nodes, out = [], [[] for _ in range(n64)]
+        for t in batch.column(2).cast(pa.binary()).to_pylist():
+            distinct = shingle_set(t or b"")
+            nodes.append(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes()) if len(distinct) else None)
+            h = shingle_hashes(t or b"", WORDS)
+            for k, column in enumerate(out):
+                column.append(majority(_spread(h, k)))
+        known = np.array([x is None for x in nodes], bool)
+        node = pa.array(np.array([x or 0 for x in nodes], np.uint64).view(np.int64), mask=known)
+        cols = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, *cols], names)
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["node", "component", "block", "blocks", "shingles"]
+    for batch in batches:
+        sets = [shingle_set(t or b"").tobytes() for t in batch.column(4).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(sets, pa.binary())], names)
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that span every class of the sets under the exact rule; the sets are distinct and not empty.
+
+    A class grows from its first member: each member is compared with all that no class has yet, so a large class costs little.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    pieces = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    free, links = np.arange(len(sets)), []
+    marked = np.zeros(len(vocabulary), bool)
+    while len(free) > 1:
+        queue, free = [int(free[0])], free[1:]
+        left, starts, stale = np.concatenate([pieces[i] for i in free]), np.concatenate([[0], np.cumsum(sizes[free])[:-1]]), False
+        while queue and len(free):
+            i = queue.pop()
+            if stale:
+                left, starts, stale = np.concatenate([pieces[j] for j in free]), np.concatenate([[0], np.cumsum(sizes[free])[:-1]]), False
+            marked[pieces[i]] = True
+            both = np.add.reduceat(marked[left], starts, dtype=np.int64)
+            marked[pieces[i]] = False
+            hit = 100 * both >= LEAST_PERCENT * (sizes[i] + sizes[free] - both)
+            if hit.any():
+                found = free[hit].tolist()
+                links += [(i, j) for j in found]
+                queue += found
+                free, stale = free[~hit], True
+    return links
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    cells: dict[tuple, dict[int, bytes]] = {}
+    for c, i, j, node, shingles in zip(*(table.column(x).to_pylist() for x in ("component", "i", "j", "node", "shingles")), strict=True):
+        cells.setdefault((c, i, j), {})[node] = shingles
+    pairs: list[tuple[int, int]] = []
+    for members in cells.values():
+        nodes = list(members)
+        pairs += [(nodes[x], nodes[y]) for x, y in similar([np.frombuffer(members[n], np.uint64) for n in nodes])]
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame) -> tuple[DataFrame, str]:
+    """(a, b) links between nodes of one candidate group (node, component) whose shingle sets meet the rule, and their folder.
+
+    A group of more than CELL members is dealt by hash into blocks, and every pair of its blocks is a cell of its own, so each
+    two members meet in some cell and no task's work follows the size of a group.
+    """
+    spark = keyed.sparkSession
+    found = coarse.withColumnRenamed("node", "linked")
+    named = classes.select("node", "least").join(found, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    sizes = named.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select(F.col("component").alias("c"), F.ceil(F.col("size") / CELL).alias("blocks"))
+    members = named.join(sizes, F.col("component") == F.col("c")).select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks", F.col("least.doc_id").alias("m_id"), F.col("least.text_key").alias("m_key"))
+    members, listed = cut_path(members, "members")
+    rows = members.select(F.sum("blocks")).first()[0] or 0
+    texts = members.join(keyed, members["m_id"].eqNullSafe(keyed["doc_id"]) & (members["m_key"] == keyed["text_key"])).select("node", "component", "block", "blocks", "text")
+    sets = texts.mapInArrow(_set_batches, "node long, component long, block long, blocks long, shingles binary")
+    other = F.explode(F.expr("filter(sequence(0L, blocks - 1), k -> blocks = 1 OR k <> block)"))
+    cells = sets.select("node", "component", "block", other.alias("k"), "shingles").select("node", "component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "shingles")
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(max(1, math.ceil(rows / CELL_ROWS)))))
+    out = cut_path(dealt.groupBy("task").applyInArrow(_verify, "a long, b long"), "verified")
+    remove(spark, listed)
+    return out
+
+
+def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, component) of every row, and ``docs`` reduced to doc_id, text_key and text, for the exact rule.
+
+    Texts of one shingle set are one class, named by a 64-bit hash of the set. Near fingerprints make groups of candidates; within
+    them the sets themselves decide. Texts without words are a class of their own (component null).
+    """
+    spark, cols = docs.sparkSession, [f"f{k}" for k in range(PIPELINE["n64"])]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), "text")
+    schema = "doc_id long, text_key long, node long, " + ", ".join(f"{c} long" for c in cols)
+    rows = cut(keyed.mapInArrow(partial(_class_batches, n64=PIPELINE["n64"]), schema), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least")
+    classes, kept = cut_path(rows.where("node IS NOT NULL").groupBy("node").agg(first, *[F.min(c).alias(c) for c in cols]), "classes")
+    edges, paths = links(classes.select("node", *cols), **PIPELINE)
+    coarse = components(edges)
+    remove(spark, *paths)
+    pairs, path = verified(keyed, classes, coarse)
+    exact = components(pairs).withColumnRenamed("node", "linked")
+    remove(spark, path, kept)
+    return rows.join(exact, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component")), keyed
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -251,8 +367,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay; of rows that repeat a kept doc_id one stays.
     """
-    got = cut(near_duplicates(docs, **PIPELINE), "groups")
-    gone = got.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    got = cut(near_groups(docs)[0], "groups")
+    least = got.groupBy("component").agg(F.min("doc_id").alias("least"))
+    gone = got.join(least, got["component"].eqNullSafe(least["component"])).where("doc_id <> least").select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     if got.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         left = left.where("doc_id IS NULL").union(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

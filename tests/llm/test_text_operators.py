@@ -285,3 +285,39 @@ def test_collisions_span_every_class_of_a_run():
         links = {tuple(p) for p in pairs.tolist()}
         want = classes(nodes.tolist(), lambda i, j: runs[i] == runs[j] and near(i, j))
         assert classes(nodes.tolist(), lambda i, j: (nodes[j], nodes[i]) in links) == want
+
+
+def five_word_sets(rows):
+    out = []
+    for r in rows:
+        w = _WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or ""))
+        out.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def exact_components(rows, least=0.8):
+    """The smallest doc_id of each row's class under exact five-word similarity."""
+    sets = five_word_sets(rows)
+    return classes([r[0] for r in rows], lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))
+
+
+def altered(rng, base, edits):
+    words = list(base)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**9)}"
+    return words
+
+
+def test_keep_one_equals_exact_components(spark, monkeypatch):
+    rng, rows = random.Random(21), []
+    vocabulary = ["".join(rng.choices("abcdeilnorstu", k=6)) for _ in range(3000)]
+    for g in range(70):
+        base = rng.choices(vocabulary, k=rng.choice([60, 120, 300]))
+        for edits in (0, *(max(1, round(len(base) * rng.uniform(0.005, 0.05))) for _ in range(3))):  # similarity 0.6 to 0.95
+            rows.append((len(rows), " ".join(altered(rng, base, edits)), "en", "a"))
+    want = {i for i, c in zip([r[0] for r in rows], exact_components(rows), strict=True) if i == c}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    assert len(want) > 90
+    monkeypatch.setattr(simhash, "CELL", 2)  # groups in blocks
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
