@@ -261,9 +261,8 @@ def _class_batches(batches: Iterator[pa.RecordBatch], n64: int) -> Iterator[pa.R
         for t in batch.column(2).cast(pa.binary()).to_pylist():
             distinct = shingle_set(t or b"")
             nodes.append(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes()) if len(distinct) else None)
-            h = shingle_hashes(t or b"", WORDS)
             for k, column in enumerate(out):
-                column.append(majority(_spread(h, k)))
+                column.append(majority(_spread(distinct, k)))
         known = np.array([x is None for x in nodes], bool)
         node = pa.array(np.array([x or 0 for x in nodes], np.uint64).view(np.int64), mask=known)
         cols = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out]

@@ -321,3 +321,16 @@ def test_keep_one_equals_exact_components(spark, monkeypatch):
     assert len(want) > 90
     monkeypatch.setattr(simhash, "CELL", 2)  # groups in blocks
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
+def test_keep_one_catches_copies_that_repeat_a_phrase(spark):
+    rng, rows = random.Random(22), []
+    vocabulary = ["".join(rng.choices("abcdeilnorstu", k=6)) for _ in range(5000)]
+    for k, (length, size, times) in enumerate([(300, 8, 14), (500, 10, 20), (200, 8, 10)] * 7):
+        words, phrase = rng.choices(vocabulary, k=length), rng.choices(vocabulary, k=size)
+        at = rng.randrange(length)
+        rows += [(k, " ".join(words), "en", "a"), (1000 + k, " ".join(words[:at] + phrase * times + words[at:]), "en", "a")]
+    sets = five_word_sets(rows)
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(21))
