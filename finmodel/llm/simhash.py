@@ -33,6 +33,8 @@ _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Variants, and bytes with what they refer to, that one reducer takes; reducers of a band at least; fingerprints that one block
 #: of variants comes from; reducers of a pass that takes several small bands at once, and beyond which a band is cut into slices.
 BUCKET_VARIANTS, BUCKET_BYTES, LEAST_BUCKETS, BLOCK, PASS_BUCKETS, SLICE_BUCKETS = 3_000_000, 90_000_000, 4, 2048, 16, 16
+#: Members of a run of equal variants up to which its pairs are compared together with those of all other such runs.
+SHORT_RUN = 32
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -93,17 +95,19 @@ def ball(bits: int, half: int) -> np.ndarray:
 
 
 def _band(words: np.ndarray, band: int, bits: int) -> np.ndarray:
-    """The band-th group of ``bits`` bits (32 or 64) of fingerprints given as rows of 64-bit words."""
-    if bits == 64:
-        return words[:, band]
-    return (words[:, band // 2] >> np.uint64(32 * (band % 2))) & np.uint64(0xFFFFFFFF)
+    """The band-th group of ``bits`` bits (64 at most) of fingerprints given as rows of 64-bit words."""
+    word, at = divmod(band * bits, 64)
+    got = words[:, word] >> np.uint64(at)
+    if at + bits > 64:
+        got = got | (words[:, word + 1] << np.uint64(64 - at))
+    return got & np.uint64(2**bits - 1)
 
 
 def _emit(batches, bits: int, half: int, bands: tuple[int, ...], n64: int, buckets: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
     """Variants of some bands that fall into buckets first .. last-1 of a band, as one block per (fingerprint block, bucket)."""
     masks, names = ball(bits, half), ["bucket", "nodes", "words", "variants", "local"]
-    kind, mix = (np.uint32, np.uint32(_MIX & np.uint64(0xFFFFFFFF))) if bits == 32 else (np.uint64, _MIX)
-    masks = masks.astype(kind)
+    kind, mix = (np.uint32, np.uint32(_MIX & np.uint64(0xFFFFFFFF))) if bits <= 32 else (np.uint64, _MIX)
+    masks, low = masks.astype(kind), kind(0 if bits <= 32 else 32)
     for batch in batches:
         nodes_all = batch.column(0).to_numpy(zero_copy_only=False)
         words_all = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(n64)], 1)
@@ -111,7 +115,7 @@ def _emit(batches, bits: int, half: int, bands: tuple[int, ...], n64: int, bucke
             nodes, words = nodes_all[at : at + BLOCK], words_all[at : at + BLOCK]
             for band in bands:
                 v = (_band(words, band, bits).astype(kind)[:, None] ^ masks).ravel() * mix  # odd factor: still one number per variant
-                bucket = ((v >> kind(bits - 32)).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+                bucket = ((v >> low).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
                 keep = np.flatnonzero((bucket >= first) & (bucket < last))
                 v, bucket, local = v[keep], bucket[keep].astype(np.uint32) - np.uint32(first), (keep // len(masks)).astype(np.uint16)
                 order = np.argsort(bucket.astype(np.uint16) if last - first < 65536 else bucket, kind="stable")
@@ -130,6 +134,12 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1)
 
 
+def _near(words: np.ndarray, a: np.ndarray, b: np.ndarray, within: int) -> np.ndarray:
+    """Whether the fingerprints of rows a and b lie within ``within`` bits, with little memory."""
+    parts = [_distance(words[a[at : at + 65536]], words[b[at : at + 65536]]) <= within for at in range(0, len(a), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def collide(variants: np.ndarray, who: np.ndarray, nodes: np.ndarray, words: np.ndarray, within: int) -> np.ndarray:
     """Verified links (rows of two node ids) that span every set of fingerprints which share a variant and lie within ``within`` bits."""
     order = np.argsort(variants, kind="stable")
@@ -141,7 +151,7 @@ def collide(variants: np.ndarray, who: np.ndarray, nodes: np.ndarray, words: np.
     head = np.concatenate([[True], ~same])
     start = np.maximum.accumulate(np.where(head, np.arange(len(v)), 0))
     a, b = who[start[member]], who[member]
-    near = _distance(words[a], words[b]) <= within
+    near = _near(words, a, b, within)
     out = [np.stack([nodes[a[near]], nodes[b[near]]], 1)]
     # A member far from the first of its run may be near others: compare it with the run, and link it once to each class there.
     far_at = member[~near]
@@ -151,7 +161,29 @@ def collide(variants: np.ndarray, who: np.ndarray, nodes: np.ndarray, words: np.
         ends = np.append(heads[1:], len(v))
         close = np.ones(len(v), bool)
         close[far_at] = False
-        large = np.flatnonzero(ends[run] - heads[run] > 2)
+        size = ends[run] - heads[run]
+        short = (size > 2) & (size <= SHORT_RUN)
+        at, begin, stop = far_at[short], heads[run][short], ends[run][short]
+        hits: list[np.ndarray] = []
+        for lag in range(1, SHORT_RUN - 1):  # pairs of two far members once, and a far one with one near the first
+            after, before = at + lag < stop, at - lag > begin
+            before[before] = close[at[before] - lag]
+            x, y = np.concatenate([at[after], at[before]]), np.concatenate([at[after] + lag, at[before] - lag])
+            hit = _near(words, who[x], who[y], within)
+            hits.append(np.stack([x[hit], y[hit]], 1))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        for i, j in np.concatenate(hits).tolist():
+            x, y = root(i), root(int(start[j]) if close[j] else j)
+            if x != y:
+                up[x] = y
+                out.append(np.array([[nodes[who[i]], nodes[who[j]]]]))
+        large = np.flatnonzero(size > SHORT_RUN)
         for r in np.unique(run[large]):
             at = np.arange(heads[r], ends[r])
             group, label = who[at], np.where(close[at], heads[r], at)
@@ -172,7 +204,7 @@ def _reducer(n64: int, bits: int, within: int):
         for n, w, v, l in zip(*(table.column(c).to_pylist() for c in ("nodes", "words", "variants", "local")), strict=True):
             nodes.append(np.frombuffer(n, np.int64))
             words.append(np.frombuffer(w, np.uint64).reshape(-1, n64))
-            variants.append(np.frombuffer(v, np.uint32 if bits == 32 else np.uint64))
+            variants.append(np.frombuffer(v, np.uint32 if bits <= 32 else np.uint64))
             who.append(np.frombuffer(l, np.uint16).astype(np.int64) + base)
             base += len(nodes[-1])
         pairs = collide(np.concatenate(variants), np.concatenate(who), np.concatenate(nodes), np.concatenate(words), within)
@@ -192,7 +224,7 @@ def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within
     n, bands = prints.count(), 64 * band_words // bits
     variants, refers = n * len(ball(bits, half)), 8 + 8 * n64  # a bucket repeats what a fingerprint's variants in it refer to
     full = max(LEAST_BUCKETS, math.ceil(variants / BUCKET_VARIANTS))
-    while (variants * (bits // 8 + 2) + min(full, len(ball(bits, half))) * n * refers) / full > BUCKET_BYTES:
+    while (variants * ((4 if bits <= 32 else 8) + 2) + min(full, len(ball(bits, half))) * n * refers) / full > BUCKET_BYTES:
         full = math.ceil(full * 1.25)
     slices = max(1, min(slices, math.ceil(full / SLICE_BUCKETS)))
     buckets = max(1, math.ceil(full / slices)) * slices
@@ -240,9 +272,10 @@ def op2(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's search for candidates: 1,024 bits over five-word shingles, hashed in 32 bands with all variants of at most one bit.
-#: Texts of Jaccard similarity 0.8 differ in 155 bits on average (standard deviation 12; 192 at most for very short ones), unrelated ones in 512.
-PIPELINE = {"n64": 16, "bits": 32, "half": 1, "within": 256, "slices": 2, "band_words": 16}
+#: The pipeline's search for candidates: 1,024 bits over five-word shingles, hashed in 39 bands of 26 bits with all variants of at most
+#: one bit. Texts of Jaccard similarity 0.8 differ in 155 bits on average (standard deviation 12; 192 at most for very short ones),
+#: unrelated ones in 512; no band differs in at most 2 bits for 1 of 20,000 pairs of similarity 0.8.
+PIPELINE = {"n64": 16, "bits": 26, "half": 1, "within": 256, "slices": 2, "band_words": 16}
 #: The rule: two texts are near-duplicates if their sets of WORDS-word shingles have a Jaccard similarity of LEAST_PERCENT or more.
 WORDS, LEAST_PERCENT = 5, 80
 #: Members of a group of candidates that are compared in one cell (larger groups: pairs of blocks), and members of a task's cells.

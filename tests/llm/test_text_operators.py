@@ -334,3 +334,24 @@ def test_keep_one_catches_copies_that_repeat_a_phrase(spark):
     assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert kept == set(range(21))
+
+
+def pairs_at_the_limit(n, shingles, seed):
+    """Fingerprints of n pairs of shingle sets of similarity 0.80 to 0.83."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        apart = int(rng.integers(max(1, shingles // 12), shingles // 8 + 1))
+        if not 0.8 <= (shingles - apart) / (shingles + apart) < 0.83:
+            continue
+        h = rng.integers(0, 2**64, shingles + apart, dtype=np.uint64)
+        out.append(tuple([simhash.majority(simhash._spread(np.array(x), k)) for k in range(16)] for x in (h[:shingles], h[apart:])))
+    return out
+
+
+def test_candidates_miss_no_pair_at_the_limit(spark):
+    pairs = [p for k, n in enumerate([56, 96, 296, 996]) for p in pairs_at_the_limit(250, n, k)]
+    rows = [(2 * i + s, *(np.uint64(x).astype(np.int64).item() for x in p[s])) for i, p in enumerate(pairs) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{k} long" for k in range(16)))
+    edges, _ = simhash.links(df, **{k: v for k, v in simhash.PIPELINE.items() if k != "words"})
+    linked = {tuple(r) for r in edges.distinct().collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= linked
