@@ -350,7 +350,7 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame) -> tuple[DataFrame, str]:
+def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame, repeated: bool) -> tuple[DataFrame, str]:
     """(a, b) links between nodes of one candidate group (node, component) whose shingle sets meet the rule, and their folder.
 
     A group of more than CELL members is dealt by hash into blocks, and every pair of its blocks is a cell of its own, so each
@@ -363,7 +363,8 @@ def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame) -> tuple[D
     members = named.join(sizes, F.col("component") == F.col("c")).select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks", F.col("least.doc_id").alias("m_id"), F.col("least.text_key").alias("m_key"))
     members, listed = cut_path(members, "members")
     rows = members.select(F.sum("blocks")).first()[0] or 0
-    texts = members.join(keyed, members["m_id"].eqNullSafe(keyed["doc_id"]) & (members["m_key"] == keyed["text_key"])).select("node", "component", "block", "blocks", "text")
+    one = keyed.dropDuplicates(["doc_id", "text_key"]) if repeated else keyed
+    texts = members.join(one, members["m_id"].eqNullSafe(one["doc_id"]) & (members["m_key"] == one["text_key"])).select("node", "component", "block", "blocks", "text")
     sets = texts.mapInArrow(_set_batches, "node long, component long, block long, blocks long, shingles binary")
     other = F.explode(F.expr("filter(sequence(0L, blocks - 1), k -> blocks = 1 OR k <> block)"))
     cells = sets.select("node", "component", "block", other.alias("k"), "shingles").select("node", "component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "shingles")
@@ -373,8 +374,8 @@ def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame) -> tuple[D
     return out
 
 
-def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, component) of every row, and ``docs`` reduced to doc_id, text_key and text, for the exact rule.
+def near_groups(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text_key, component) of every row under the exact rule, and whether rows repeat both doc_id and text.
 
     Texts of one shingle set are one class, named by a 64-bit hash of the set. Near fingerprints make groups of candidates; within
     them the sets themselves decide. Texts without words are a class of their own (component null).
@@ -388,21 +389,25 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges, paths = links(classes.select("node", *cols), **PIPELINE)
     coarse = components(edges)
     remove(spark, *paths)
-    pairs, path = verified(keyed, classes, coarse)
+    repeated = bool(rows.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
+    pairs, path = verified(keyed, classes, coarse, repeated)
     exact = components(pairs).withColumnRenamed("node", "linked")
     remove(spark, path, kept)
-    return rows.join(exact, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component")), keyed
+    return rows.join(exact, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component")), repeated
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id (null after all others).
 
-    Rows with a null doc_id stay; of rows that repeat a kept doc_id one stays.
+    Rows are told apart by (doc_id, text), so a doc_id that is repeated with another text, or is null, is judged by its own text. Of
+    rows that repeat both, one stays.
     """
-    got = cut(near_groups(docs)[0], "groups")
-    least = got.groupBy("component").agg(F.min("doc_id").alias("least"))
-    gone = got.join(least, got["component"].eqNullSafe(least["component"])).where("doc_id <> least").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    if got.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id IS NULL").union(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return left
+    groups, repeated = near_groups(docs)
+    got = cut(groups, "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("best")
+    kept = got.groupBy("component").agg(best).select(F.col("best.doc_id").alias("kept_id_"), F.col("best.text_key").alias("kept_key_"))
+    key = F.xxhash64(docs["text"].cast("string"))
+    left = docs.withColumn("text_key_", key).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id_")) & (key == F.col("kept_key_")), "left_semi")
+    if repeated:
+        left = left.dropDuplicates(["doc_id", "text_key_"])
+    return left.drop("text_key_")

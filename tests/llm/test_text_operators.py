@@ -355,3 +355,15 @@ def test_candidates_miss_no_pair_at_the_limit(spark):
     edges, _ = simhash.links(df, **{k: v for k, v in simhash.PIPELINE.items() if k != "words"})
     linked = {tuple(r) for r in edges.distinct().collect()}
     assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= linked
+
+
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choices("abcdeilnorstu", k=6)) for _ in range(3000)]
+    a, b, c, d, e = (rng.choices(vocabulary, k=200) for _ in range(5))
+    near = lambda words: " ".join([*words[:100], "other", *words[101:]])
+    plain = " ".join
+    rows = [(1, plain(a)), (5, near(a)), (5, plain(b)), (None, near(b)), (7, plain(c)), (7, plain(d)), (None, plain(e)), (None, plain(e)), (9, plain(d)), (9, None), (10, " "), (1, plain(a))]
+    left = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert left.columns == ["doc_id", "text"]
+    assert Counter(map(tuple, left.collect())) == Counter([(1, plain(a)), (5, plain(b)), (7, plain(c)), (7, plain(d)), (None, plain(e)), (9, None)])
