@@ -1,7 +1,9 @@
 """Byte-level BPE through the tokenizers library, one call per distinct chunk instead of per text.
 
 The pre-token pattern of this tokenizer always starts a token at a blank that is followed by a non-blank. So a text may be cut
-there, its chunks encoded on their own and joined again. Chunks repeat a lot: a bounded cache per worker keeps their ids.
+there, its chunks encoded on their own and joined again. Only a blank before an added token (such as ``<|endoftext|>``) belongs to
+the blanks before it, since the library takes added tokens out first: no cut is made there. Chunks repeat a lot: a bounded cache
+per worker keeps their ids.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def chunks(text: str) -> list[str]:
+def chunks(text: str, added: tuple[str, ...] = ()) -> list[str]:
     """Pieces whose encodings join to that of the text; all but the first stand without the blank that starts them."""
+    if inside := [a for a in added if a in text]:
+        if any(" " in a for a in inside):
+            return [text]
+        return re.split(rf" (?=\S)(?!{'|'.join(map(re.escape, inside))})", text)
     for m in _BLANK_RUN.finditer(text):
         if m.start() and text[m.start() - 1].isspace():  # a blank inside a longer run does not start a token
             return _CUT.split(text)
@@ -32,17 +38,20 @@ def chunks(text: str) -> list[str]:
 
 
 class ByteBpe:
-    """Ids of texts as little-endian uint32 bytes. Special-token strings inside a text are ordinary text."""
+    """Ids of texts as little-endian uint32 bytes. Added tokens inside a text get their own id, as by the library's default."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        self.added = tuple(t.content for t in tokens.values())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # in a byte-level vocabulary each character is a byte
         for piece, i in vocabulary.items():
-            self.n_bytes[i] = len(piece)
+            self.n_bytes[i] = len(piece.encode()) if i in tokens else len(piece)
         self.heads: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
@@ -84,7 +93,7 @@ class ByteBpe:
         return [len(ids) // 4 for ids in self._lookup(self.heads, [cut[:1]], "")[0] + self._lookup(self.rest, [cut[1:]], " ")[0]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
+        cut = [chunks(t, self.added) for t in texts]
         heads = self._lookup(self.heads, [c[:1] for c in cut], "")
         rest = self._lookup(self.rest, [c[1:] for c in cut], " ")
         return [h[0] + b"".join(r) for h, r in zip(heads, rest, strict=True)]

@@ -3,7 +3,8 @@
 A document is kept as a segment tree over runs of pre-tokens: a leaf has the text of a run, and every node the characters and
 tokens below it. An edit finds its leaves by descending the tree on characters. Only the touched leaves are encoded anew, and a
 neighbour where the edit comes within two characters of their border, since whether a border starts a pre-token depends on one
-character on either side. The sums above the leaves are updated, and the count of the document is that of the root.
+character on either side; where the vocabulary has added tokens, an edit can make or break one, so their length is added to the
+two. The sums above the leaves are updated, and the count of the document is that of the root.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ class CountTree:
 
     def __init__(self, text: str, bpe: ByteBpe) -> None:
         self.bpe, self.encoded = bpe, 0
-        cut = chunks(text)
+        self.reach = max(map(len, bpe.added), default=0)
+        cut = chunks(text, bpe.added)
         parts = [cut[0], *(" " + c for c in cut[1:])]
         counts = bpe.counts(cut)
         self.leaves = ["".join(parts[i : i + RUN]) for i in range(0, len(parts), RUN)]
@@ -71,8 +73,8 @@ class CountTree:
         total = self.chars[1]
         at = max(0, min(at, total))
         drop = max(0, min(drop, total - at))
-        first, start = self.find(at - 2)
-        last, before = self.find(at + drop + 1)
+        first, start = self.find(at - 2 - self.reach)
+        last, before = self.find(at + drop + 1 + self.reach)
         end = before + self.chars[self.size + last]
         old = "".join(self.leaves[first : last + 1])
         new = old[: at - start] + put + old[at - start + drop :]

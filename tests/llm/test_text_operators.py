@@ -367,3 +367,22 @@ def test_keep_one_judges_rows_by_their_own_text(spark):
     left = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert left.columns == ["doc_id", "text"]
     assert Counter(map(tuple, left.collect())) == Counter([(1, plain(a)), (5, plain(b)), (7, plain(c)), (7, plain(d)), (None, plain(e)), (9, None)])
+
+
+def test_added_tokens_get_their_own_ids():
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(bytebpe.default_path()), random.Random(12)
+    pieces = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", " ", "  ", "\n", "\t", "a", "b'st", "é", ".", "\u3000"]
+    texts = ["a <|endoftext|> b", "a   <|endoftext|>  b", *("".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(3000))]
+    bpe = bytebpe.ByteBpe(bytebpe.default_path())
+    got = [np.frombuffer(g, "<u4").tolist() for g in bpe.encode(texts)]
+    assert got[0] == [64, 220, 50256, 275]
+    assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for text in texts[:400]:
+        text = "x y " * 20 + text + " z" * 40
+        tree = editcount.CountTree(text, bpe)
+        for _ in range(6):
+            at, drop, put = rng.randint(60, min(len(text), 200)), rng.choice([0, 1, 1, 5]), rng.choice(["", "", " ", "q", "<|endoftext|>", "<|endof", "text|>"])
+            text = text[:at] + put + text[at + drop :]
+            assert tree.edit(at, drop, put) == len(tok.encode(text, add_special_tokens=False).ids)
