@@ -8,37 +8,33 @@ from __future__ import annotations
 
 import contextlib
 import posixpath
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-_recorders: list[list[str]] = []
-
-
-@contextlib.contextmanager
-def recorded(paths: list[str]):
-    """Collects the names of the shared folders that are made meanwhile."""
-    _recorders.append(paths)
-    try:
-        yield
-    finally:
-        _recorders.remove(paths)
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; a local one is set only where the setting is absent (tests)."""
+    """A fresh folder name below ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a local session (one JVM, as in tests) gets a local folder; on a cluster that is an error, since
+    executors would each write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="finmodel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_dir()
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + root
-    path = posixpath.join(root, f"finmodel-{label}-{uuid.uuid4().hex[:12]}")
-    for paths in _recorders:
-        paths.append(path)
-    return path
+    return posixpath.join(root, f"finmodel-{label}-{uuid.uuid4().hex[:12]}")
+
+
+@lru_cache(1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="finmodel-ckpt-")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -63,12 +59,31 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop shuffle files whose plans are out of use, so that passes do not add up on disk."""
-    import gc
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Meanwhile shuffle files go as soon as the job that made them has ended, so that passes do not add up on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def row_key(*values: Column) -> Column:
+    """A 64-bit hash of some columns as text, in which a null differs from the empty text; tells rows of one id apart."""
+    return F.xxhash64(*[x for v in values for x in (F.coalesce(v.cast("string"), F.lit("")), v.isNull())])
+
+
+def without(docs: DataFrame, rejected: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of ``docs`` that ``rejected`` (id, key) does not name, key being ``row_key`` of ``columns``; all columns are kept.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    A row is told by its doc_id (null is an id too) and those columns, so equal rows go or stay together.
+    """
+    gone = cut(rejected.select(F.col("id").cast("long").alias("gone_id_"), F.col("key").alias("gone_key_")).distinct(), "rejected")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id_"]) & (row_key(*[docs[c] for c in columns]) == gone["gone_key_"])
+    return docs.join(gone, same, "left_anti")
 
 
 def filesystem(url: str):

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 
 No link ever reaches the driver: each step is a grouped minimum (combined map-side) and a join on the node, and its edges are
-written to the shared folder. A hot node only makes a hot join key, which adaptive execution splits.
+written to the shared folder. Nodes with very many links would make one join key hot, so the minima of those nodes alone are
+broadcast: a node is hot beyond ``2 * links / HOT_NODES`` links, so there are at most HOT_NODES of them however large the input is.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from ._io import cut_path, remove
 
 _EDGE = "a long, b long"
 FOREST_NODES = 200_000
+#: Most nodes whose minimum is broadcast, and links below which a node is never hot.
+HOT_NODES, LEAST_HOT = 20_000, 500
 
 
-def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the edges of a partition, by blocks of FOREST_NODES nodes, by spanning forests of stars (node, smallest node)."""
+def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest of stars (node, smallest node of its class) of the pairs."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -30,32 +33,47 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = root, parent[x]
         return root
 
-    def stars() -> pa.RecordBatch:
-        rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
-        parent.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["a", "b"])
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(x, r) for x in list(parent) if (r := find(x)) != x]
+
+
+def edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], ["a", "b"])
+
 
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the edges of a partition, by blocks of about FOREST_NODES edges, by spanning forests of stars."""
+    held: list[tuple[int, int]] = []
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        if len(parent) > FOREST_NODES:
-            yield stars()
-    yield stars()
+        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if len(held) > FOREST_NODES:
+            yield edge_batch(forest(held))
+            held = []
+    yield edge_batch(forest(held))
+
+
+def _with_least(pairs: DataFrame, n_links: int) -> DataFrame:
+    """``pairs`` with m, the smallest b of each a."""
+    limit = max(LEAST_HOT, 2 * n_links // HOT_NODES)
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
+    hot = F.broadcast(least.where(F.col("links") > limit).select("a", F.col("m").alias("hot_m")))
+    tagged = pairs.join(hot, "a", "left")
+    cold = tagged.where("hot_m IS NULL").select("a", "b").join(least.where(F.col("links") <= limit).select("a", "m"), "a")
+    return tagged.where("hot_m IS NOT NULL").select("a", "b", F.col("hot_m").alias("m")).union(cold.select("a", "b", "m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_links: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _with_least(both, 2 * n_links).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_links: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(down, n_links).select("a", "b", "m")
+    return moved.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -73,7 +91,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen[0] == 0 or tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = tuple(seen)
-        nxt, new = cut_path(_small_star(_large_star(now)), "edges")
+        nxt, new = cut_path(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
         remove(spark, path)
         now, path = nxt, new
     raise RuntimeError("connected components did not settle")

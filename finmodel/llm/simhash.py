@@ -5,10 +5,11 @@ emits all variants of at most ``half`` flipped bits, the variants are shuffled,
 are verified on the fingerprints. Members of a collision are linked by a spanning forest, never by all pairs: links are only
 used through the components they form.
 
-Scale: a variant travels inside a block of one bucket (8 + 2 bytes, and the fingerprints it refers to once), not as a row of
-its own. The number of buckets follows the number of fingerprints, so a reducer's work is bounded however large the input is;
-equal fingerprints are merged before, so a hot text costs one ball. ``slices`` cuts the variant space so that only a part of it
-lies on disk at a time.
+Scale: variants are dealt to buckets by a linear code of their bits, so ``code(f ^ mask) = code(f) ^ code(mask)``. A fingerprint
+therefore travels once to each bucket that one of its variants falls into, and the reducer writes out the variants that belong
+there; a variant costs no bytes of its own in the shuffle. The number of buckets follows the number of fingerprints, so a
+reducer's work is bounded however large the input is, and passes over parts of the buckets bound what lies on disk at a time.
+Equal fingerprints are merged before, so a hot text costs one ball. Each reducer returns a spanning forest of what it linked.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from functools import lru_cache, partial, reduce
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut, cut_path, free_shuffles, remove
-from .components import components
+from ._io import cut, cut_path, freed_shuffles, remove, row_key
+from .components import components, forest
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _OFFSETS = np.arange(8, dtype=np.intp) * 256
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-#: Variants, and bytes with what they refer to, that one reducer takes; reducers of a band at least; fingerprints that one block
-#: of variants comes from; reducers of a pass that takes several small bands at once, and beyond which a band is cut into slices.
-BUCKET_VARIANTS, BUCKET_BYTES, LEAST_BUCKETS, BLOCK, PASS_BUCKETS, SLICE_BUCKETS = 3_000_000, 90_000_000, 4, 2048, 16, 16
+#: Variants that one reducer takes on average; fingerprints that one block of a bucket comes from; bytes of a fingerprint that
+#: one pass may shuffle.
+BUCKET_VARIANTS, BLOCK, PASS_BYTES = 3_000_000, 4096, 2048
 #: Members of a run of equal variants up to which its pairs are compared together with those of all other such runs.
 SHORT_RUN = 32
 
@@ -94,7 +95,47 @@ def ball(bits: int, half: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(half + 1) for c in itertools.combinations(range(bits), r)], np.uint64)
 
 
-def _band(words: np.ndarray, band: int, bits: int) -> np.ndarray:
+def code(values: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """A linear code of ``width`` bits: code(x ^ y) = code(x) ^ code(y). Each bit position has a pseudo-random word of its own."""
+    words = [xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(bits)]
+    out = np.zeros(values.shape, np.uint32)
+    for k in range(width):
+        mask = np.uint64(sum(1 << i for i, w in enumerate(words) if w >> k & 1))
+        out |= (np.bitwise_count(values & mask) & 1).astype(np.uint32) << np.uint32(k)
+    return out
+
+
+@lru_cache(4)
+def _coded(bits: int, half: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The masks in ascending order of their codes, and the codes."""
+    masks = ball(bits, half)
+    codes = code(masks, bits, width)
+    order = np.argsort(codes, kind="stable")
+    return masks[order], codes[order]
+
+
+@dataclass(frozen=True)
+class Search:
+    """``bands`` groups of ``bits`` bits are hashed with all variants of at most ``half`` flips; a pair is a candidate if a band
+    differs in at most ``2 * half`` bits, and a link if the first ``checked`` words differ in at most ``within``."""
+
+    bits: int = 64
+    half: int = 2
+    within: int = 4
+    bands: int = 1
+    checked: int = 1
+    least_width: int = 8
+
+    def width(self, n: int) -> int:
+        """Bits of the bucket code for n fingerprints."""
+        return max(self.least_width, math.ceil(math.log2(max(1.0, n * len(ball(self.bits, self.half)) / BUCKET_VARIANTS))))
+
+    def sent(self, width: int) -> int:
+        """Bytes of one fingerprint in the shuffle of a band."""
+        return min(1 << width, len(ball(self.bits, self.half))) * (8 if self.bits == 64 else 16 + 4 + 8 * self.checked)
+
+
+def band_values(words: np.ndarray, band: int, bits: int) -> np.ndarray:
     """The band-th group of ``bits`` bits (64 at most) of fingerprints given as rows of 64-bit words."""
     word, at = divmod(band * bits, 64)
     got = words[:, word] >> np.uint64(at)
@@ -103,60 +144,75 @@ def _band(words: np.ndarray, band: int, bits: int) -> np.ndarray:
     return got & np.uint64(2**bits - 1)
 
 
-def _emit(batches, bits: int, half: int, bands: tuple[int, ...], n64: int, buckets: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """Variants of some bands that fall into buckets first .. last-1 of a band, as one block per (fingerprint block, bucket)."""
-    masks, names = ball(bits, half), ["bucket", "nodes", "words", "variants", "local"]
-    kind, mix = (np.uint32, np.uint32(_MIX & np.uint64(0xFFFFFFFF))) if bits <= 32 else (np.uint64, _MIX)
-    masks, low = masks.astype(kind), kind(0 if bits <= 32 else 32)
-    for batch in batches:
-        nodes_all = batch.column(0).to_numpy(zero_copy_only=False)
-        words_all = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(n64)], 1)
-        for at in range(0, len(nodes_all), BLOCK):
-            nodes, words = nodes_all[at : at + BLOCK], words_all[at : at + BLOCK]
-            for band in bands:
-                v = (_band(words, band, bits).astype(kind)[:, None] ^ masks).ravel() * mix  # odd factor: still one number per variant
-                bucket = ((v >> low).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
-                keep = np.flatnonzero((bucket >= first) & (bucket < last))
-                v, bucket, local = v[keep], bucket[keep].astype(np.uint32) - np.uint32(first), (keep // len(masks)).astype(np.uint16)
-                order = np.argsort(bucket.astype(np.uint16) if last - first < 65536 else bucket, kind="stable")
-                v, bucket, local = v[order], bucket[order], local[order]
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-                rows: list[list] = [[] for _ in names]
-                for s, e in zip(edges[:-1], edges[1:], strict=True):
-                    used, back = np.unique(local[s:e], return_inverse=True)
-                    for column, x in zip(rows, (band * buckets + int(bucket[s]) + first, nodes[used].tobytes(), words[used].tobytes(), v[s:e].tobytes(), back.astype(np.uint16).tobytes()), strict=True):
-                        column.append(x)
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names)
-
-
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of about BLOCK rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= BLOCK):
+            table = pa.Table.from_batches(held).combine_chunks()
+            held = []
+            for at in range(0, table.num_rows, BLOCK):
+                yield [c.chunk(0).to_numpy(zero_copy_only=False) for c in table.slice(at, BLOCK).combine_chunks().columns]
+
+
+_SENT = ["bucket", "nodes", "labels", "values", "checks"]
+
+
+def _emit(batches, search: Search, width: int, bands: tuple[int, ...], part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of a block by the bucket of a band that some of their variants fall into, for one part of the buckets."""
+    own = np.unique(_coded(search.bits, search.half, width)[1])
+    whole = search.bits == 64  # then the fingerprint is its own node, label and check
+    for columns in _blocks(batches):
+        nodes, labels = columns[:2]
+        words = np.stack([c.view(np.uint64) for c in columns[2:]], 1)
+        for band in bands:
+            values = band_values(words, band, search.bits)
+            target = code(values, search.bits, width)[:, None] ^ own
+            who, _ = keep = np.nonzero((target.astype(np.uint64) * np.uint64(parts)) >> np.uint64(width) == part)
+            target = target[keep]
+            order = np.argsort(target, kind="stable")
+            target, who = target[order], who[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1, [len(target)]]) if len(target) else np.zeros(1, int)
+            rows: list[list] = [[] for _ in _SENT]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                i = who[s:e]
+                sent = (b"", b"", values[i].tobytes(), b"") if whole else (nodes[i].tobytes(), labels[i].tobytes(), values[i].astype(np.uint32).tobytes(), words[i, : search.checked].tobytes())
+                for column, x in zip(rows, ((band << width) + int(target[s]), *sent), strict=True):
+                    column.append(x)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], _SENT)
 
 
 def _near(words: np.ndarray, a: np.ndarray, b: np.ndarray, within: int) -> np.ndarray:
     """Whether the fingerprints of rows a and b lie within ``within`` bits, with little memory."""
-    parts = [_distance(words[a[at : at + 65536]], words[b[at : at + 65536]]) <= within for at in range(0, len(a), 65536)]
+    parts = [np.bitwise_count(words[a[at : at + 65536]] ^ words[b[at : at + 65536]]).sum(axis=-1) <= within for at in range(0, len(a), 65536)]
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
-def collide(variants: np.ndarray, who: np.ndarray, nodes: np.ndarray, words: np.ndarray, within: int) -> np.ndarray:
-    """Verified links (rows of two node ids) that span every set of fingerprints which share a variant and lie within ``within`` bits."""
-    order = np.argsort(variants, kind="stable")
-    v, who = variants[order], who[order]
+def collide(variants: np.ndarray, who: np.ndarray, labels: np.ndarray, words: np.ndarray, within: int) -> np.ndarray:
+    """Verified links (rows of two labels) that span, with the labels, every set of fingerprints which share a variant and lie
+    within ``within`` bits. Fingerprints of one label count as linked already; the links are a forest."""
+    order = np.argsort(variants)
+    v = variants[order]
     same = v[1:] == v[:-1]
-    member = np.flatnonzero(np.concatenate([[False], same]))
-    if not len(member):
+    if not same.any():
         return np.empty((0, 2), np.int64)
-    head = np.concatenate([[True], ~same])
-    start = np.maximum.accumulate(np.where(head, np.arange(len(v)), 0))
+    inside = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    v, who = v[inside], who[order[inside]]
+    head = np.concatenate([[True], v[1:] != v[:-1]])
+    member = np.flatnonzero(~head)
+    heads = np.flatnonzero(head)
+    start = heads[np.cumsum(head) - 1]
     a, b = who[start[member]], who[member]
-    near = _near(words, a, b, within)
-    out = [np.stack([nodes[a[near]], nodes[b[near]]], 1)]
+    near = labels[a] == labels[b]
+    check = np.flatnonzero(~near)
+    near[check] = _near(words, a[check], b[check], within)
+    out = [np.stack([labels[a[near]], labels[b[near]]], 1)]
     # A member far from the first of its run may be near others: compare it with the run, and link it once to each class there.
     far_at = member[~near]
     if len(far_at):
-        heads = np.flatnonzero(head)
         run = np.searchsorted(heads, far_at, side="right") - 1
         ends = np.append(heads[1:], len(v))
         close = np.ones(len(v), bool)
@@ -164,122 +220,114 @@ def collide(variants: np.ndarray, who: np.ndarray, nodes: np.ndarray, words: np.
         size = ends[run] - heads[run]
         short = (size > 2) & (size <= SHORT_RUN)
         at, begin, stop = far_at[short], heads[run][short], ends[run][short]
-        hits: list[np.ndarray] = []
         for lag in range(1, SHORT_RUN - 1):  # pairs of two far members once, and a far one with one near the first
             after, before = at + lag < stop, at - lag > begin
             before[before] = close[at[before] - lag]
             x, y = np.concatenate([at[after], at[before]]), np.concatenate([at[after] + lag, at[before] - lag])
+            apart = labels[who[x]] != labels[who[y]]
+            x, y = x[apart], y[apart]
             hit = _near(words, who[x], who[y], within)
-            hits.append(np.stack([x[hit], y[hit]], 1))
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                x = y
-            return x
-
-        for i, j in np.concatenate(hits).tolist():
-            x, y = root(i), root(int(start[j]) if close[j] else j)
-            if x != y:
-                up[x] = y
-                out.append(np.array([[nodes[who[i]], nodes[who[j]]]]))
-        large = np.flatnonzero(size > SHORT_RUN)
-        for r in np.unique(run[large]):
-            at = np.arange(heads[r], ends[r])
-            group, label = who[at], np.where(close[at], heads[r], at)
-            for i in np.flatnonzero(~close[at]):
-                hit = np.flatnonzero(_distance(words[group], words[group[i]]) <= within)
-                for j in hit[np.unique(label[hit], return_index=True)[1]]:
-                    if label[j] != label[i]:
-                        out.append(np.array([[nodes[group[i]], nodes[group[j]]]]))
-                        label[label == label[j]] = label[i]
+            out.append(np.stack([labels[who[x[hit]]], labels[who[y[hit]]]], 1))
+        for r in np.unique(run[size > SHORT_RUN]):
+            group = who[heads[r] : ends[r]]
+            classes = np.where(close[heads[r] : ends[r]], labels[group[0]], labels[group])
+            for i in np.flatnonzero(~close[heads[r] : ends[r]]):
+                other = np.flatnonzero(classes != classes[i])
+                hit = other[np.bitwise_count(words[group[other]] ^ words[group[i]]).sum(axis=-1) <= within]
+                for j in hit[np.unique(classes[hit], return_index=True)[1]]:
+                    out.append(np.array([[labels[group[i]], labels[group[j]]]]))
+                    classes[classes == classes[j]] = classes[i]
     pairs = np.concatenate(out)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return np.unique(np.sort(pairs, 1), axis=0)
-
-
-def _reducer(n64: int, bits: int, within: int):
-    def reduce(table: pa.Table) -> pa.Table:
-        nodes, words, variants, who, base = [], [], [], [], 0
-        for n, w, v, l in zip(*(table.column(c).to_pylist() for c in ("nodes", "words", "variants", "local")), strict=True):
-            nodes.append(np.frombuffer(n, np.int64))
-            words.append(np.frombuffer(w, np.uint64).reshape(-1, n64))
-            variants.append(np.frombuffer(v, np.uint32 if bits <= 32 else np.uint64))
-            who.append(np.frombuffer(l, np.uint16).astype(np.int64) + base)
-            base += len(nodes[-1])
-        pairs = collide(np.concatenate(variants), np.concatenate(who), np.concatenate(nodes), np.concatenate(words), within)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
+    return np.array(forest(pairs.tolist()) or np.empty((0, 2)), np.int64)
+
+
+def _reducer(search: Search, width: int):
+    def reduce(key, table):
+        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        if search.bits == 64:
+            values = read("values", np.uint64)
+            labels, words = values.view(np.int64), values[:, None]
+        else:
+            values = read("values", np.uint32).astype(np.uint64)
+            labels, words = read("labels", np.int64), read("checks", np.uint64).reshape(-1, search.checked)
+        masks, codes = _coded(search.bits, search.half, width)
+        wanted = code(values, search.bits, width) ^ np.uint32(key[0].as_py() & ((1 << width) - 1))
+        low, high = np.searchsorted(codes, wanted, "left"), np.searchsorted(codes, wanted, "right")
+        who = np.repeat(np.arange(len(values)), high - low)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        variants = values[who] ^ masks[low[who] + nth]
+        pairs = collide(variants if search.bits > 32 else variants.astype(np.uint32), who, labels, words, search.within)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return reduce
 
 
-def links(prints: DataFrame, n64: int = 1, bits: int = 64, half: int = 2, within: int = 4, slices: int = 8, band_words: int = 1) -> tuple[DataFrame, list[str]]:
-    """(node, f0 ...) of distinct fingerprints -> (a, b) links, and the folders that hold them.
+def links(prints: DataFrame, search: Search, bands: range | None = None) -> tuple[list[DataFrame], list[str]]:
+    """(node, label, f0 ...) of distinct fingerprints -> (a, b) links between labels, and the folders that hold them.
 
-    The first ``band_words`` of the ``n64`` words are hashed in bands of ``bits``; a pair is a candidate if a band differs in at
-    most ``2 * half`` bits, and a link if all words together differ in at most ``within``. A band is shuffled in up to ``slices``
-    passes; bands that are small share one.
+    Bands, or for large inputs parts of a band, are shuffled in passes of about PASS_BYTES a fingerprint; a pass's shuffle files
+    go when it ends. Of 64-bit searches node and label are the fingerprint itself.
     """
-    spark = prints.sparkSession
-    n, bands = prints.count(), 64 * band_words // bits
-    variants, refers = n * len(ball(bits, half)), 8 + 8 * n64  # a bucket repeats what a fingerprint's variants in it refer to
-    full = max(LEAST_BUCKETS, math.ceil(variants / BUCKET_VARIANTS))
-    while (variants * ((4 if bits <= 32 else 8) + 2) + min(full, len(ball(bits, half))) * n * refers) / full > BUCKET_BYTES:
-        full = math.ceil(full * 1.25)
-    slices = max(1, min(slices, math.ceil(full / SLICE_BUCKETS)))
-    buckets = max(1, math.ceil(full / slices)) * slices
-    together = max(1, min(bands, PASS_BUCKETS // buckets)) if slices == 1 else 1
+    spark, bands = prints.sparkSession, bands if bands is not None else range(search.bands)
+    n = prints.count()
+    width = search.width(n)
+    each = search.sent(width)
+    parts = min(1 << width, 1 << max(0, math.ceil(math.log2(each / PASS_BYTES))))
+    together = max(1, PASS_BYTES // each)
     src = prints.repartition(max(8, min(20_000, math.ceil(n / (4 * BLOCK)))))
     done, paths = [], []
-    for band in range(0, bands, together):
-        for p in range(slices):
-            some = tuple(range(band, min(band + together, bands)))
-            emit = partial(_emit, bits=bits, half=half, bands=some, n64=n64, buckets=buckets, first=buckets * p // slices, last=buckets * (p + 1) // slices)
-            blocks = src.mapInArrow(emit, "bucket int, nodes binary, words binary, variants binary, local binary")
-            out, path = cut_path(blocks.groupBy("bucket").applyInArrow(_reducer(n64, bits, within), "a long, b long"), "links")
-            done.append(out)
-            paths.append(path)
-            free_shuffles(spark)
-    return reduce(DataFrame.union, done), paths
+    with freed_shuffles(spark):
+        for at in range(0, len(bands), together):
+            for part in range(parts):
+                emit = partial(_emit, search=search, width=width, bands=tuple(bands[at : at + together]), part=part, parts=parts)
+                blocks = src.mapInArrow(emit, "bucket long, nodes binary, labels binary, values binary, checks binary")
+                out, path = cut_path(blocks.groupBy("bucket").applyInArrow(_reducer(search, width), "a long, b long"), "links")
+                done.append(out)
+                paths.append(path)
+    return done, paths
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, n64: int = 1, bits: int = 64, half: int = 2, within: int = 4, slices: int = 8, band_words: int = 1) -> DataFrame:
-    """(doc_id, f0 ..., component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
+def near_duplicates(docs: DataFrame, words: int = 4, search: Search = Search()) -> DataFrame:
+    """(doc_id, f0, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
 
     Null and blank texts have fingerprint zero and link like any other; repeated doc_ids stay as they are; a null doc_id keeps
-    its row and is never the smallest unless its whole class has none (then component_id is null). A doc_id that is repeated
-    with different texts joins their classes if it is the smallest of both. Extra columns are ignored. An empty table gives an
-    empty result.
+    its row, links like any other and is never the smallest unless its whole class has none (then component_id is null). Two texts
+    under one doc_id are not linked by that. Extra columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    cols = [f"f{k}" for k in range(n64)]
-    fps = cut(fingerprints(docs, words, n64), "fingerprints")
-    classes, kept = cut_path(fps.groupBy(*cols).agg(F.min("doc_id").alias("least")), "classes")
-    edges, paths = links(classes.where("least IS NOT NULL").select(F.col("least").alias("node"), *cols), n64, bits, half, within, slices, band_words)
-    found = components(edges)
+    fps = cut(fingerprints(docs, words), "fingerprints")
+    classes = cut(fps.groupBy("f0").agg(F.min("doc_id").alias("least")), "classes")
+    edges, paths = links(classes.select(F.col("f0").alias("node"), F.col("f0").alias("label"), "f0"), search)
+    found = components(_all(edges))
     remove(spark, *paths)
-    named = classes.join(found, classes["least"] == found["node"], "left").select(*cols, F.coalesce("component", "least").alias("component_id"))
-    keys = [fps[c].eqNullSafe(named[c]) for c in cols[1:]]
-    cond = fps["f0"] == named["f0"]
-    for k in keys:
-        cond = cond & k
-    return fps.join(named, cond).select(fps["doc_id"], *(fps[c] for c in cols), named["component_id"])
+    named = cut(classes.join(found, F.col("f0") == F.col("node"), "left").select(F.col("f0").alias("print"), "least", F.coalesce("component", "f0").alias("component")), "named")
+    ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    labels = cut(named.join(ids, "component").select("print", "component_id"), "labels")
+    return fps.join(labels, F.col("f0") == F.col("print"), "left").select("doc_id", "f0", "component_id")
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id) of the 4-word, 64-bit, 4-bit contract."""
+    """(doc_id, fingerprint as 16 hex digits, component_id) of the 4-word, 64-bit, 4-bit contract; as ``near_duplicates``."""
     got = near_duplicates(docs)
     return got.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: The pipeline's search for candidates: 1,024 bits over five-word shingles, hashed in 39 bands of 26 bits with all variants of at most
-#: one bit. Texts of Jaccard similarity 0.8 differ in 155 bits on average (standard deviation 12; 192 at most for very short ones),
-#: unrelated ones in 512; no band differs in at most 2 bits for 1 of 20,000 pairs of similarity 0.8.
-PIPELINE = {"n64": 16, "bits": 26, "half": 1, "within": 256, "slices": 2, "band_words": 16}
+#: one bit; what collides is compared on 256 bits. Texts of Jaccard similarity 0.8 differ in 39 of these on average (standard
+#: deviation 6; 48 for very short ones), unrelated ones in 128 (8); no band differs in at most 2 bits for 1 of 20,000 pairs.
+PIPELINE, N64 = Search(bits=26, half=1, within=80, bands=39, checked=4, least_width=1), 16
 #: The rule: two texts are near-duplicates if their sets of WORDS-word shingles have a Jaccard similarity of LEAST_PERCENT or more.
 WORDS, LEAST_PERCENT = 5, 80
-#: Members of a group of candidates that are compared in one cell (larger groups: pairs of blocks), and members of a task's cells.
-CELL, CELL_ROWS = 1024, 4000
+#: Members of a group of candidates that are compared in one cell, members that every cell of a large group has, members of a task.
+CELL, PIVOTS, CELL_ROWS = 1024, 8, 4000
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -309,28 +357,39 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(sets, pa.binary())], names)
 
 
+class _Sets:
+    """Shingle sets as runs of small numbers, to count what one has in common with many."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        self.vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.pieces = np.split(flat, np.cumsum(self.sizes)[:-1])
+        self.marked = np.zeros(len(self.vocabulary), bool)
+
+    def joined(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([self.pieces[i] for i in of]), np.concatenate([[0], np.cumsum(self.sizes[of])[:-1]])
+
+    def alike(self, i: int, of: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        self.marked[self.pieces[i]] = True
+        both = np.add.reduceat(self.marked[flat], starts, dtype=np.int64)
+        self.marked[self.pieces[i]] = False
+        return 100 * both >= LEAST_PERCENT * (self.sizes[i] + self.sizes[of] - both)
+
+
 def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (positions) that span every class of the sets under the exact rule; the sets are distinct and not empty.
 
     A class grows from its first member: each member is compared with all that no class has yet, so a large class costs little.
     """
-    sizes = np.array([len(x) for x in sets])
-    ends = np.cumsum(sizes)
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    pieces = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-    free, links = np.arange(len(sets)), []
-    marked = np.zeros(len(vocabulary), bool)
+    held, free, links = _Sets(sets), np.arange(len(sets)), []
     while len(free) > 1:
         queue, free = [int(free[0])], free[1:]
-        left, starts, stale = np.concatenate([pieces[i] for i in free]), np.concatenate([[0], np.cumsum(sizes[free])[:-1]]), False
+        run, stale = held.joined(free), False
         while queue and len(free):
             i = queue.pop()
             if stale:
-                left, starts, stale = np.concatenate([pieces[j] for j in free]), np.concatenate([[0], np.cumsum(sizes[free])[:-1]]), False
-            marked[pieces[i]] = True
-            both = np.add.reduceat(marked[left], starts, dtype=np.int64)
-            marked[pieces[i]] = False
-            hit = 100 * both >= LEAST_PERCENT * (sizes[i] + sizes[free] - both)
+                run, stale = held.joined(free), False
+            hit = held.alike(i, free, *run)
             if hit.any():
                 found = free[hit].tolist()
                 links += [(i, j) for j in found]
@@ -339,60 +398,123 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+def across(sets: list[np.ndarray], labels: np.ndarray, rest: np.ndarray) -> list[tuple[int, int]]:
+    """Links (positions) between each member of ``rest`` and every other label that has a member similar to it, once a label."""
+    held, links = _Sets(sets), []
+    of = np.arange(len(sets))
+    run = held.joined(of)
+    for i in rest.tolist():
+        hit = of[held.alike(i, of, *run) & (labels != labels[i])]
+        links += [(i, int(j)) for j in hit[np.unique(labels[hit], return_index=True)[1]]]
+    return links
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    pairs = forest(pairs)
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
 def _verify(table: pa.Table) -> pa.Table:
+    """Links of cells that compare all their members."""
     cells: dict[tuple, dict[int, bytes]] = {}
-    for c, i, j, node, shingles in zip(*(table.column(x).to_pylist() for x in ("component", "i", "j", "node", "shingles")), strict=True):
-        cells.setdefault((c, i, j), {})[node] = shingles
+    for c, i, node, shingles in zip(*(table.column(x).to_pylist() for x in ("component", "block", "node", "shingles")), strict=True):
+        cells.setdefault((c, i), {})[node] = shingles
     pairs: list[tuple[int, int]] = []
     for members in cells.values():
         nodes = list(members)
         pairs += [(nodes[x], nodes[y]) for x, y in similar([np.frombuffer(members[n], np.uint64) for n in nodes])]
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    return _pairs(pairs)
 
 
-def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame, repeated: bool) -> tuple[DataFrame, str]:
-    """(a, b) links between nodes of one candidate group (node, component) whose shingle sets meet the rule, and their folder.
+def _verify_rest(table: pa.Table) -> pa.Table:
+    """Links of cells that compare some members with all others of a block."""
+    cells: dict[tuple, dict[int, tuple]] = {}
+    for c, i, j, node, label, rest, shingles in zip(*(table.column(x).to_pylist() for x in ("component", "i", "block", "node", "label", "rest", "shingles")), strict=True):
+        cell = cells.setdefault((c, i, j), {})
+        cell[node] = (label, rest or cell.get(node, (0, False))[1], shingles)
+    pairs: list[tuple[int, int]] = []
+    for members in cells.values():
+        nodes, rows = list(members), list(members.values())
+        found = across([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows]), np.flatnonzero([r[1] for r in rows]))
+        pairs += [(nodes[x], nodes[y]) for x, y in found]
+    return _pairs(pairs)
+
+
+def _dealt(cells: DataFrame, by: tuple[str, ...], rows: int, verify) -> DataFrame:
+    """Cells put together into tasks of about CELL_ROWS members."""
+    task = F.pmod(F.xxhash64(*by), F.lit(max(1, math.ceil(rows / CELL_ROWS))))
+    return cells.withColumn("task", task).groupBy("task").applyInArrow(verify, "a long, b long")
 
-    A group of more than CELL members is dealt by hash into blocks, and every pair of its blocks is a cell of its own, so each
-    two members meet in some cell and no task's work follows the size of a group.
+
+def verified(keyed: DataFrame, classes: DataFrame, coarse: DataFrame, repeated: bool) -> tuple[DataFrame, list[str]]:
+    """(a, b) links between nodes of one candidate group (node, component) whose shingle sets meet the rule, and their folders.
+
+    A group of more than CELL members is dealt by hash into blocks. First each block is compared in itself and with PIVOTS members
+    of the group, which makes one class of most of a large group. Then only members outside the group's largest class are
+    compared with the blocks again. So each two members are compared unless they are known to be of one class, and the work of
+    a group whose members are mostly alike grows in proportion to it.
     """
     spark = keyed.sparkSession
     found = coarse.withColumnRenamed("node", "linked")
-    named = classes.select("node", "least").join(found, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    sizes = named.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select(F.col("component").alias("c"), F.ceil(F.col("size") / CELL).alias("blocks"))
+    named, p0 = cut_path(classes.select("node", "least").join(found, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("component", "node").alias("component")), "named")
+    sizes, p1 = cut_path(named.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select(F.col("component").alias("c"), F.ceil(F.col("size") / CELL).alias("blocks")), "sizes")
     members = named.join(sizes, F.col("component") == F.col("c")).select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks", F.col("least.doc_id").alias("m_id"), F.col("least.text_key").alias("m_key"))
-    members, listed = cut_path(members, "members")
-    rows = members.select(F.sum("blocks")).first()[0] or 0
     one = keyed.dropDuplicates(["doc_id", "text_key"]) if repeated else keyed
     texts = members.join(one, members["m_id"].eqNullSafe(one["doc_id"]) & (members["m_key"] == one["text_key"])).select("node", "component", "block", "blocks", "text")
-    sets = texts.mapInArrow(_set_batches, "node long, component long, block long, blocks long, shingles binary")
-    other = F.explode(F.expr("filter(sequence(0L, blocks - 1), k -> blocks = 1 OR k <> block)"))
-    cells = sets.select("node", "component", "block", other.alias("k"), "shingles").select("node", "component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "shingles")
-    dealt = cells.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(max(1, math.ceil(rows / CELL_ROWS)))))
-    out = cut_path(dealt.groupBy("task").applyInArrow(_verify, "a long, b long"), "verified")
-    remove(spark, listed)
-    return out
+    sets, p2 = cut_path(texts.mapInArrow(_set_batches, "node long, component long, block long, blocks long, shingles binary"), "sets")
+    remove(spark, p0, p1)
+    total, largest = sets.agg(F.count("*"), F.max("blocks")).first()
+    cells = sets.select("component", "block", "node", "shingles")
+    if (largest or 0) > 1:
+        leads = sets.where("blocks > 1").select("component", "blocks", "node").withColumn("place", F.expr("row_number() OVER (PARTITION BY component ORDER BY node)")).where(F.col("place") <= PIVOTS)
+        pivots = leads.select(F.col("component").alias("c"), F.col("node").alias("lead")).join(sets, F.col("node") == F.col("lead")).select("component", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "node", "shingles")
+        cells = cells.union(pivots)
+    first, p3 = cut_path(_dealt(cells, ("component", "block"), total, _verify), "verified")
+    if (largest or 0) <= 1:
+        remove(spark, p2)
+        return first, [p3]
+    known = components(first).select(F.col("node").alias("linked"), F.col("component").alias("known"))
+    listed = sets.where("blocks > 1").select("node", "component", "block", "blocks").join(known, F.col("node") == F.col("linked"), "left")
+    labelled, p4 = cut_path(listed.select("node", "component", "block", "blocks", F.coalesce("known", "node").alias("label")), "labels")
+    counts = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
+    most, p5 = cut_path(counts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").select(F.col("component").alias("c"), "main", F.ceil(F.col("others") / CELL).alias("parts")), "main")
+    judged = labelled.join(most, F.col("component") == F.col("c")).select(F.col("node").alias("n"), "label", (F.col("label") != F.col("main")).alias("rest"), "parts")
+    open_sets, p6 = cut_path(sets.join(judged, F.col("node") == F.col("n")).select("node", "component", "block", "blocks", "label", "rest", "parts", "shingles"), "open")
+    remove(spark, p2, p4, p5)
+    asked = open_sets.where("rest").select("component", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "node", "label", "rest", "shingles")
+    others = open_sets.select("component", F.explode(F.expr("sequence(0L, parts - 1)")).alias("i"), "block", "node", "label", F.lit(False).alias("rest"), "shingles")
+    rows = open_sets.agg(F.sum("parts"), F.sum(F.when(F.col("rest"), F.col("blocks")).otherwise(0))).first()
+    second, p7 = cut_path(_dealt(asked.union(others), ("component", "i", "block"), (rows[0] or 0) + (rows[1] or 0), _verify_rest), "verified")
+    remove(spark, p6)
+    return first.union(second), [p3, p7]
 
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, bool]:
     """(doc_id, text_key, component) of every row under the exact rule, and whether rows repeat both doc_id and text.
 
     Texts of one shingle set are one class, named by a 64-bit hash of the set. Near fingerprints make groups of candidates; within
-    them the sets themselves decide. Texts without words are a class of their own (component null).
+    them the sets themselves decide. The first band is searched alone: what it links is one label afterwards, and the other bands
+    look only for links between labels, so a group of many near copies is not linked again by each band. Texts without words are a
+    class of their own (component null).
     """
-    spark, cols = docs.sparkSession, [f"f{k}" for k in range(PIPELINE["n64"])]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), "text")
+    spark, cols = docs.sparkSession, [f"f{k}" for k in range(N64)]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, text_key long, node long, " + ", ".join(f"{c} long" for c in cols)
-    rows = cut(keyed.mapInArrow(partial(_class_batches, n64=PIPELINE["n64"]), schema), "fingerprints")
+    prints, p0 = cut_path(keyed.mapInArrow(partial(_class_batches, n64=N64), schema), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least")
-    classes, kept = cut_path(rows.where("node IS NOT NULL").groupBy("node").agg(first, *[F.min(c).alias(c) for c in cols]), "classes")
-    edges, paths = links(classes.select("node", *cols), **PIPELINE)
-    coarse = components(edges)
-    remove(spark, *paths)
+    classes, p1 = cut_path(prints.where("node IS NOT NULL").groupBy("node").agg(first, *[F.min(c).alias(c) for c in cols]), "classes")
+    rows = cut(prints.select("doc_id", "text_key", "node"), "rows")
+    remove(spark, p0)
+    seeds, made = links(classes.select("node", F.col("node").alias("label"), *cols), PIPELINE, range(1))
+    seed = components(_all(seeds)).select(F.col("node").alias("linked"), F.col("component").alias("label"))
+    labelled, p2 = cut_path(classes.join(seed, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("label", "node").alias("label"), *cols), "labelled")
+    more, added = links(labelled, PIPELINE, range(1, PIPELINE.bands))
+    coarse = components(_all([seed.select(F.col("linked").alias("a"), F.col("label").alias("b")), *more]))
+    remove(spark, p2, *made, *added)
     repeated = bool(rows.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
-    pairs, path = verified(keyed, classes, coarse, repeated)
+    pairs, paths = verified(keyed, classes, coarse, repeated)
     exact = components(pairs).withColumnRenamed("node", "linked")
-    remove(spark, path, kept)
+    remove(spark, p1, *paths)
     return rows.join(exact, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component")), repeated
 
 
@@ -400,14 +522,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id (null after all others).
 
     Rows are told apart by (doc_id, text), so a doc_id that is repeated with another text, or is null, is judged by its own text. Of
-    rows that repeat both, one stays.
+    rows that repeat both, one stays. Null, empty and blank texts are one group; a text of fewer than five words is one shingle.
+    An empty table gives an empty result; other columns are kept as they are, whatever their names.
     """
     groups, repeated = near_groups(docs)
-    got = cut(groups, "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("best")
-    kept = got.groupBy("component").agg(best).select(F.col("best.doc_id").alias("kept_id_"), F.col("best.text_key").alias("kept_key_"))
-    key = F.xxhash64(docs["text"].cast("string"))
-    left = docs.withColumn("text_key_", key).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id_")) & (key == F.col("kept_key_")), "left_semi")
-    if repeated:
-        left = left.dropDuplicates(["doc_id", "text_key_"])
-    return left.drop("text_key_")
+    kept = cut(groups.groupBy("component").agg(best).select(F.col("best.doc_id").alias("kept_id_"), F.col("best.text_key").alias("kept_key_")), "kept")
+    key = row_key(docs["text"])
+    if not repeated:
+        return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id_"]) & (key == kept["kept_key_"]), "left_semi")
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), docs["doc_id"].cast("long").alias("id_"), key.alias("key_"))
+    left = marked.join(kept, F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi")
+    return left.dropDuplicates(["id_", "key_"]).select("row_.*")

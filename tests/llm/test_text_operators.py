@@ -77,15 +77,37 @@ def test_simhash_components(spark, docs, empty):
     assert simhash.op2(empty).count() == 0
 
 
+def test_null_ids_link_like_any_other(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rng, texts = random.Random(13), []
+    while len(texts) < 3:  # a chain: the ends are linked through the middle only
+        text = " ".join(rng.choices(base, k=400))
+        near = [text]
+        for _ in range(2000):
+            words = near[-1].split()
+            words[rng.randrange(400)] = rng.choice(base)
+            prints = [plain_fingerprint(t, 4) for t in (*near, " ".join(words))]
+            if len(near) == 1 and 2 < (prints[0] ^ prints[1]).bit_count() <= 4:
+                near.append(" ".join(words))
+            elif len(near) == 2 and (prints[1] ^ prints[2]).bit_count() <= 4 < (prints[0] ^ prints[2]).bit_count():
+                texts = [*near, " ".join(words)]
+                break
+    df = spark.createDataFrame([(7, texts[0]), (None, texts[1]), (9, texts[2]), (None, "quite another text of a few words")], "doc_id long, text string")
+    got = simhash.op2(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (7, 7), (9, 7)]
+
+
 def test_ball_hashing_finds_every_pair_within_the_radius(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = list({b ^ sum(1 << i for i in rng.sample(range(64), d)) for b in base for d in (0, 1, 2, 3, 4, 4, 5, 8)})
-    df = spark.createDataFrame([(i, np.uint64(p).astype(np.int64).item()) for i, p in enumerate(prints)], "node long, f0 long")
-    edges, _ = simhash.links(df, slices=2)
-    found = {r.node: r.component for r in simhash.components(edges).collect()}
-    want = classes(list(range(len(prints))), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-    assert [found.get(i, i) for i in range(len(prints))] == want
+    signed = [np.uint64(p).astype(np.int64).item() for p in prints]
+    df = spark.createDataFrame([(p, p, p) for p in signed], "node long, label long, f0 long")
+    want = classes(signed, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    for search in (simhash.Search(least_width=1), simhash.Search(least_width=12)):  # one pass, and several
+        edges, _ = simhash.links(df, search)
+        found = {r.node: r.component for r in simhash.components(simhash._all(edges)).collect()}
+        assert [found.get(p, p) for p in signed] == want
 
 
 def test_keep_one_catches_near_copies_and_leaves_the_rest(spark):
@@ -279,12 +301,13 @@ def test_collisions_span_every_class_of_a_run():
         words = np.array([[p & (2**64 - 1), p >> 64] for p in prints], np.uint64)
         runs = np.array([rng.randrange(3) for _ in range(n)], np.uint64)
         nodes = np.arange(n) * 10
-        pairs = simhash.collide(runs, np.arange(n), nodes, words, 8)
         near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 8
-        assert all(near(a // 10, b // 10) for a, b in pairs.tolist()) and len(pairs) < n
-        links = {tuple(p) for p in pairs.tolist()}
-        want = classes(nodes.tolist(), lambda i, j: runs[i] == runs[j] and near(i, j))
-        assert classes(nodes.tolist(), lambda i, j: (nodes[j], nodes[i]) in links) == want
+        for labels in (nodes, np.array([10 * rng.randrange(n) for _ in range(n)])):
+            pairs = simhash.collide(runs, np.arange(n), labels, words, 8)
+            assert len(pairs) < n
+            links = {tuple(sorted(p)) for p in pairs.tolist()}
+            want = classes(nodes.tolist(), lambda i, j: labels[i] == labels[j] or (runs[i] == runs[j] and near(i, j)))
+            assert classes(nodes.tolist(), lambda i, j: labels[i] == labels[j] or (min(labels[i], labels[j]), max(labels[i], labels[j])) in links) == want
 
 
 def five_word_sets(rows):
@@ -319,8 +342,10 @@ def test_keep_one_equals_exact_components(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
     assert len(want) > 90
-    monkeypatch.setattr(simhash, "CELL", 2)  # groups in blocks
-    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    for size in (1, 2):  # groups in blocks
+        monkeypatch.setattr(simhash, "CELL", size)
+        assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
 
 
 def test_keep_one_catches_copies_that_repeat_a_phrase(spark):
@@ -350,10 +375,10 @@ def pairs_at_the_limit(n, shingles, seed):
 
 def test_candidates_miss_no_pair_at_the_limit(spark):
     pairs = [p for k, n in enumerate([56, 96, 296, 996]) for p in pairs_at_the_limit(250, n, k)]
-    rows = [(2 * i + s, *(np.uint64(x).astype(np.int64).item() for x in p[s])) for i, p in enumerate(pairs) for s in (0, 1)]
-    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{k} long" for k in range(16)))
-    edges, _ = simhash.links(df, **{k: v for k, v in simhash.PIPELINE.items() if k != "words"})
-    linked = {tuple(r) for r in edges.distinct().collect()}
+    rows = [(2 * i + s, 2 * i + s, *(np.uint64(x).astype(np.int64).item() for x in p[s])) for i, p in enumerate(pairs) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "node long, label long, " + ", ".join(f"f{k} long" for k in range(16)))
+    edges, _ = simhash.links(df, simhash.PIPELINE)
+    linked = {tuple(sorted(r)) for r in simhash._all(edges).distinct().collect()}
     assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= linked
 
 
