@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from finmodel.llm import langid, packing, quality, simhash
-from finmodel.llm._io import cut, recorded, remove, small_batches
-
-_scratch: list[str] = []
-
-
-def _apply(spark: SparkSession, docs: DataFrame, operator: Callable[[DataFrame], DataFrame], first: bool = False) -> DataFrame:
-    """Runs a stage. Its input is written already, so the folders that the stage before left are not read again and go."""
-    small_batches(spark)
-    if not first:
-        remove(spark, *_scratch)
-    _scratch.clear()
-    with recorded(_scratch):
-        return operator(docs)
+from finmodel.llm._io import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the adaptive fences of their language and source."""
-    return _apply(spark, docs, quality.keep_good, first=True)
+    return quality.keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the fused evidence determines."""
-    return _apply(spark, docs, langid.keep_identified)
+    return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return _apply(spark, docs, simhash.keep_one)
+    return simhash.keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of each document: its bin and place."""
-    return _apply(spark, docs, packing.op8)
+    return packing.op8(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]
@@ -49,10 +35,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to ``documents``; each result is written as Parquet in the shared folder and reread.
-
-    One run at a time in a process: a stage removes what the stage before it left.
-    """
+    """Applies STAGES to ``documents``; each result is written as Parquet in the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
