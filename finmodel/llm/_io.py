@@ -103,8 +103,3 @@ def publish(url: str, write) -> None:
     with fs.open_output_stream(part, compression=None) as out:
         write(out)
     fs.move(part, path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, since one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

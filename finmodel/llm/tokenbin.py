@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import cut, filesystem, publish, shared_dir
-from .bytebpe import as_texts, default_path, encoder
+from .bytebpe import default_path, encoder
 
 MAGIC, BLOCK_IDS, END_ID = b"TKPLANE1", 1 << 16, 0
+#: Texts that are encoded together.
+ENCODE_ROWS = 8192
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -127,12 +129,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, bits: bool
 
     def documents():
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 64):
-                for doc_id, got in zip(ids[at : at + 64], encoder(path).encode(as_texts(batch.column(1).slice(at, 64))), strict=True):
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                part = batch.slice(at, ENCODE_ROWS)
+                ids, counts = encoder(path).encode_column(part.column(1))
+                ids = ids.astype("<u4", copy=False)
+                for doc_id, got in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                     if not first:
                         first.append(doc_id)
-                    yield doc_id, got + end
+                    yield doc_id, got.tobytes() + end
 
     url, size = f"{folder}/{uuid.uuid4().hex}.tok", (0, 0)
 
@@ -188,4 +192,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def op7(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every row of ``docs`` (doc_id, text), read back from the files written.
+
+    Null and empty texts are the end id alone; a text is encoded whole, however long, and may span blocks; null doc_ids come first,
+    rows of one doc_id by their text, equal rows each have their place; other columns are ignored; an empty table gives an
+    empty result.
+    """
     return read_tokens(write_tokens(docs, tokenizer_path))

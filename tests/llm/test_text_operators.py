@@ -376,7 +376,7 @@ def test_language_fusion_equals_its_definition(spark):
 
 def test_language_codes_and_unknown_languages(spark):
     english, french = "the house and the garden of the king with this and that ", "la maison et le jardin du roi avec ceci et cela pour les "
-    rows = [(i, (english if i % 2 else french) * 4, ("eng", "en-US", "EN")[i % 3] if i % 2 else ("fr", "fra_FR")[i % 4 // 2], "a") for i in range(60)]
+    rows = [(i, (english if i % 2 else french) * 80, ("eng", "en-US", "EN")[i % 3] if i % 2 else ("fr", "fra_FR")[i % 4 // 2], "a") for i in range(60)]
     rows += [(100, "nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään " * 6, None, "a"), (101, "zxqv kjwp qqzx vvkj xwzq pqkz jjxv " * 12, None, "a")]
     got = {r.doc_id: r for r in langid.op5(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i].language == ("en" if i % 2 else "fr") for i in range(60))
