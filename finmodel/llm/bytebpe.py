@@ -112,34 +112,32 @@ class ByteBpe:
             all_counts.append(np.diff(ends, prepend=0))
         return np.concatenate(all_ids), np.concatenate(all_counts)
 
-    def _shrink(self, chunks: pa.Array, places: np.ndarray) -> None:
-        """Keeps only the chunks given, those of the latest texts."""
-        sizes = self.ends[places + 1] - self.ends[places]
-        before = np.cumsum(sizes) - sizes
-        ids = self.ids[np.repeat(self.ends[places] - before, sizes) + np.arange(int(sizes.sum()))]
-        self._empty_pool()
-        self._pooled(ids, sizes)
-        self.place[" "] = dict(zip(chunks.to_pylist(), range(len(places)), strict=True))
-
-    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each) of an Arrow string column; null is empty."""
-        if not len(column):
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        column = as_strings(column)
+    def _cut(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets of the parts of each text, distinct parts, which of them each part is, places of the parts in the pool, texts
+        that a cut at every blank does not fit) of a column without nulls."""
         parts = pc.split_pattern(column, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets, flat = offsets - offsets[0], parts.flatten()
         coded = flat.dictionary_encode()
         words, which = coded.dictionary, coded.indices.to_numpy()
+        if self.used > CACHE_CHUNKS:
+            self._empty_pool()
         plain = plain_start(words)[which]  # a cut may stand before the part
         plain[offsets[:-1]] = True
         odd = np.add.reduceat(~plain, offsets[:-1]) > 0
         for a in self.added:
             odd |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
-        place = self._places(words, " ")
-        at = place[which]
+        at = self._places(words, " ")[which]
         heads, back = np.unique(which[offsets[:-1]], return_inverse=True)
         at[offsets[:-1]] = self._places(words.take(pa.array(heads)), "")[back]
+        return offsets, words, which, at, odd
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each) of an Arrow string column; null is empty."""
+        if not len(column):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        column = as_strings(column)
+        offsets, _, _, at, odd = self._cut(column)
         sizes = self.ends[at + 1] - self.ends[at]
         if odd.any():
             sizes[np.repeat(odd, np.diff(offsets))] = 0
@@ -147,15 +145,26 @@ class ByteBpe:
         before = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.ends[at] - before, sizes) + np.arange(int(sizes.sum()))]
         if odd.any():
-            alone = [np.frombuffer(x, "<u4") for x in self._encode_texts([column[int(k)].as_py() for k in np.flatnonzero(odd)])]
+            alone = [np.frombuffer(x, "<u4") for x in self.encode_few([column[int(k)].as_py() for k in np.flatnonzero(odd)])]
             pieces = np.split(ids, np.cumsum(counts)[:-1])
             for k, x in zip(np.flatnonzero(odd).tolist(), alone, strict=True):
                 pieces[k], counts[k] = x, len(x)
             ids = np.concatenate(pieces)
-        if self.used > CACHE_CHUNKS:
-            self._shrink(words, place)
         return ids, counts
 
+    def run_counts(self, column: pa.Array, run: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """(bytes, ids) of each run of ``run`` chunks of each text; None for a text that needs ``chunks``. The column has no nulls."""
+        if not len(column):
+            return []
+        offsets, words, which, at, odd = self._cut(column)
+        sizes, width = self.ends[at + 1] - self.ends[at], pc.binary_length(words).to_numpy().astype(np.int64)[which] + 1
+        width[offsets[:-1]] -= 1
+        runs = -(-np.diff(offsets) // run)
+        last = np.cumsum(runs)
+        starts = np.repeat(offsets[:-1], runs) + run * (np.arange(last[-1]) - np.repeat(last - runs, runs))
+        both = zip(np.split(np.add.reduceat(width, starts), last[:-1]), np.split(np.add.reduceat(sizes, starts), last[:-1]), strict=True)
+        return [None if skip else got for skip, got in zip(odd.tolist(), both, strict=True)]
+
     def _fresh(self, new: list[str], lead: str) -> dict[str, bytes]:
         """Ids of unseen chunks."""
         bulk = [bool(lead and c) and not c[0].isspace() for c in new]
@@ -190,7 +199,8 @@ class ByteBpe:
         ids, counts = self.encode_column(pa.array(texts, pa.string()))
         return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
-    def _encode_texts(self, texts: list[str]) -> list[bytes]:
+    def encode_few(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, for a few texts."""
         cut = [chunks(t, self.added) for t in texts]
         heads = self._lookup(self.heads, [c[:1] for c in cut], "")
         rest = self._lookup(self.rest, [c[1:] for c in cut], " ")
