@@ -8,6 +8,7 @@ puts a sidecar index of offsets beside it. The reader takes the index and reads
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut, filesystem, publish, shared_dir
+from ._io import cut, filesystem, publish, remove, shared_dir
 
 #: Bytes read at a time, bytes of records after which a new archive begins, and the least payload that is revisited.
 PIECE, ROLL_BYTES, LEAST_REVISIT = 1 << 20, 64 << 20, 100
@@ -94,30 +95,30 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]:
     """(head, pieces of the rest of the record with its end) from the pieces of a WARC stream; a record need not fit in memory."""
-    buffer = b""
+    buffer, at = b"", 0
 
     def more() -> bool:
-        nonlocal buffer
+        nonlocal buffer, at
         got = next(pieces, None)
-        buffer += got or b""
+        buffer, at = buffer[at:] + (got or b""), 0
         return got is not None
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
+        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
             if not more():
                 if buffer.strip():
                     raise ValueError("a WARC record is cut off")
                 return
-        head, buffer = buffer[:end], buffer[end + 4 :]
+        head, at = buffer[at:end], end + 4
         left = int(parse_head(head)["content-length"]) + 4
 
         def body() -> Iterator[bytes]:
-            nonlocal buffer, left
+            nonlocal at, left
             while left:
-                if not buffer and not more():
+                if at == len(buffer) and not more():
                     raise ValueError("a WARC record is cut off")
-                part, buffer = buffer[:left], buffer[left:]
-                left -= len(part)
+                part = buffer[at : at + left]
+                at, left = at + len(part), left - len(part)
                 yield part
 
         rest = body()
@@ -127,9 +128,10 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[byt
 
 
 def inflate(handle) -> Iterator[bytes]:
-    """Pieces of a gzip file of one or several members."""
-    unpack = zlib.decompressobj(_GZIP)
+    """Pieces of a gzip file of one or several members; an error if it is cut off, if only by its checksum."""
+    unpack, empty = zlib.decompressobj(_GZIP), True
     while data := handle.read(PIECE):
+        empty = False
         while data:
             if unpack.eof:
                 unpack = zlib.decompressobj(_GZIP)
@@ -139,6 +141,8 @@ def inflate(handle) -> Iterator[bytes]:
                 yield got
     if not unpack.eof and (rest := unpack.flush()):
         yield rest
+    if not empty and not unpack.eof:
+        raise ValueError("a gzip file is cut off")
 
 
 def normalise(handle, out) -> list[dict]:
@@ -146,7 +150,7 @@ def normalise(handle, out) -> list[dict]:
     index, at = [], 0
     for head, rest in split_records(inflate(handle)):
         pack, start = zlib.compressobj(6, zlib.DEFLATED, _GZIP), at
-        for part in (head + b"\r\n\r\n", *(), *rest):
+        for part in itertools.chain((head, b"\r\n\r\n"), rest):
             at += out.write(pack.compress(part)) or 0
         at += out.write(pack.flush()) or 0
         names = parse_head(head)
@@ -228,9 +232,13 @@ def op1(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, null urls are empty. Rows that repeat the response's page_id with its payload are responses
     too. A null page_id is kept and never referred to: if a payload has no other, all its records are responses. Other columns
-    are ignored; an empty table gives no archive and no rows.
+    are ignored; an empty table gives no archive and no rows. A payload is held whole by one task, a record of an archive is not.
     """
-    return read_archives(normalise_archives(write_archives(pages)))
+    archives = write_archives(pages)
+    members, first = normalise_archives(archives), archives.first()
+    if first is not None:  # the monolithic files are not read again
+        remove(pages.sparkSession, first["url"].rpartition("/")[0])
+    return read_archives(members)
 
 
 ORACLE_SQL = """
