@@ -4,24 +4,29 @@ Candidates are read in blocks. A block is turned into postings per term (a compo
 it, and the weights. The sparse rows of the queries then scatter their weighted postings into dense score arrays, term by term;
 a partition selection keeps the k best of each query, which are merged block by block and at last over all partitions.
 
-The query set is stated, not all pairs: it is sent to the executors in chunks of a fixed number of bytes, one scan of the
-candidates each, so neither side is ever gathered whole. A partition returns k rows per query.
+The query set is stated, not all pairs. It is written to the shared folder in files of a bounded size; a task reads them one after
+the other for every block of candidates that it holds, so neither side is ever gathered whole, and nothing of it passes the
+driver. A block of candidates returns k rows per query.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of one broadcast of queries; queries and candidates that meet in one score array.
-CHUNK_BYTES, QUERY_ROWS, BLOCK_ROWS = 32 << 20, 256, 4096
-_OUT = "query int, query_id long, vec_id long, score long"
+from ._io import cut, cut_path, filesystem, publish, shared_dir
+
+#: Bytes of a file of queries, and of candidates that a task holds; queries and candidates that meet in one score array.
+FILE_BYTES, HELD_BYTES, QUERY_ROWS, BLOCK_ROWS = 32 << 20, 64 << 20, 128, 2048
+_OUT = "file int, query int, query_id long, vec_id long, score long"
 
 
 def quantise(values: np.ndarray) -> np.ndarray:
@@ -45,53 +50,109 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Dense scores (query x candidate), one term after the other."""
     exact = object if object in (queries.dtype, candidates.dtype) else np.int64
     scores = np.zeros((len(queries), len(candidates)), exact)
+    spare = np.empty_like(scores)
     for term in range(min(queries.shape[1], candidates.shape[1])):
         has, posting = np.flatnonzero(queries[:, term]), np.flatnonzero(candidates[:, term])
         if not len(has) or not len(posting):
             continue
-        add = np.multiply.outer(queries[has, term], candidates[posting, term])
         if len(has) == len(queries) and len(posting) == len(candidates):
-            scores += add
+            scores += np.multiply.outer(queries[:, term], candidates[:, term], out=spare)
         else:
-            scores[np.ix_(has, posting)] += add
+            scores[np.ix_(has, posting)] += np.multiply.outer(queries[has, term], candidates[posting, term])
     return scores
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query row, vec_id, score) of the k best per row, ties to the smaller id; a candidate with the query's own id is left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    n, out = len(ids), []
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best per row, ties to the smaller id; a candidate with the query's own id is left out.
+    The ids ascend."""
+    n = len(ids)
     if scores.dtype == object or (scores.size and int(np.abs(scores).max()) >= 2**62 // max(n, 1)):
+        out = []
         for q in range(len(scores)):
             keep = [j for j in range(n) if ids[j] != own[q]]
-            out += [(q, int(ids[j]), max(-(2**63), min(2**63 - 1, int(scores[q, j])))) for j in sorted(keep, key=lambda j, q=q: (-scores[q, j], ids[j]))[:k]]
-        return out
+            out += [(q, int(ids[j]), int(scores[q, j])) for j in sorted(keep, key=lambda j, q=q: (-scores[q, j], ids[j]))[:k]]
+        return np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64), np.array([x[2] for x in out], object)
     rank = scores * n + np.arange(n - 1, -1, -1)  # distinct: score first, then the smaller id
     least = np.iinfo(np.int64).min
-    rank[own[:, None] == ids] = least
+    first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    for q in np.flatnonzero(last > first):
+        rank[q, first[q] : last[q]] = least
     top = np.argpartition(rank, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), rank.shape)
     rows = np.broadcast_to(np.arange(len(scores))[:, None], top.shape)
     ok = rank[rows, top] != least
-    return list(zip(rows[ok].tolist(), ids[top[ok]].tolist(), scores[rows[ok], top[ok]].tolist(), strict=True))
+    return rows[ok], ids[top[ok]], scores[rows[ok], top[ok]]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best per query row of several selections; scores beyond 64 bits are shown at the limit from here on."""
+    rows, ids, scores = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -scores[i], ids[i])), np.int64)
+        scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores.tolist()], np.int64)
+    else:
+        order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, int)
+    place = np.arange(len(rows)) - np.repeat(heads, np.diff(np.append(heads, len(rows))))
+    return rows[place < k], ids[place < k], scores[place < k]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
-    own, matrix = queries.value
-    kept: dict[int, list[tuple[int, int]]] = {}
+def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes vectors into files of about FILE_BYTES."""
+    held: list[pa.RecordBatch] = []
+
+    def put() -> pa.RecordBatch:
+        table, url = pa.Table.from_batches(held), f"{folder}/{uuid.uuid4().hex}.parquet"
+        publish(url, lambda out: pq.write_table(table, out))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([url])], ["url"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(at, BLOCK_ROWS)
-            ids, rows = part.column(0).to_numpy(zero_copy_only=False), rows_of(part.column(1))
+        step = max(1, int(FILE_BYTES * max(1, batch.num_rows) / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            held.append(batch.slice(at, step))
+            if sum(b.get_total_buffer_size() if b.num_rows == batch.num_rows else b.nbytes for b in held) >= FILE_BYTES:
+                yield put()
+    if held:
+        yield put()
+
+
+def _read(url: str) -> pa.Table:
+    fs, path = filesystem(url)
+    with fs.open_input_file(path) as handle:
+        return pq.read_table(handle)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of candidates: ids in ascending order, and vectors."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield _sorted(held)
+            held, size = [], 0
+    if size:
+        yield _sorted(held)
+
+
+def _sorted(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(batches).combine_chunks().sort_by("vec_id").combine_chunks()
+    return table.column(0).chunk(0).to_numpy(), rows_of(table.column(1).chunk(0))
+
+
+def _scan(batches: Iterator[pa.RecordBatch], files: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    urls = sorted(u for f in files for u in _read(f).column("url").to_pylist())
+    for ids, rows in _held(batches):
+        for file, url in enumerate(urls):
+            table = _read(url).combine_chunks()
+            own, matrix = table.column(0).chunk(0).to_numpy(), rows_of(table.column(1).chunk(0))
             for q in range(0, len(own), QUERY_ROWS):
-                for i, vec, score in best(accumulate(matrix[q : q + QUERY_ROWS], rows), ids, own[q : q + QUERY_ROWS], k):
-                    kept.setdefault(q + i, []).append((-score, vec))
-            for i, found in kept.items():
-                if len(found) > k:
-                    kept[i] = sorted(found)[:k]
-    out = [(i, int(own[i]), vec, -score) for i, found in kept.items() for score, vec in found]
-    for at in range(0, len(out), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 50_000], strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["query", "query_id", "vec_id", "score"])
+                asked, theirs = matrix[q : q + QUERY_ROWS], own[q : q + QUERY_ROWS]
+                parts = [best(accumulate(asked, rows[at : at + BLOCK_ROWS]), ids[at : at + BLOCK_ROWS], theirs, k) for at in range(0, len(ids), BLOCK_ROWS)]
+                at, vec, score = merged(parts, k)
+                cols = [pa.array(np.full(len(at), file, np.int32)), pa.array((at + q).astype(np.int32)), pa.array(theirs[at]), pa.array(vec), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(cols, ["file", "query", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -107,22 +168,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     )
     asked = whole.where(f"vec_id % {every} = 0")
-    size = asked.agg(F.count("*"), F.sum(F.size("embedding"))).first()
-    n_chunks = max(1, math.ceil(((size[1] or 0) + size[0]) * 8 / CHUNK_BYTES))
-    parts = []
-    for c in range(n_chunks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_chunks)) == c)
-        table = mine.toArrow().combine_chunks()
-        if not table.num_rows:
-            continue
-        column = table.column(1).chunk(0)
-        sent = spark.sparkContext.broadcast((table.column(0).to_numpy(), rows_of(column)))
-        found = whole.mapInArrow(lambda it, sent=sent: _scan(it, sent, k), _OUT)
-        parts.append(found.withColumn("chunk", F.lit(c)))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    place = Window.partitionBy("chunk", "query").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(place).cast("int")).where(f"rank <= {k}")
+    size = asked.agg(F.sum(F.size("embedding") * 8 + 16)).first()[0] or 0
+    spread = asked.repartition(max(1, math.ceil(size / FILE_BYTES)))
+    _, listed = cut_path(spread.mapInArrow(partial(_store, folder=shared_dir(spark, "queries")), "url string"), "query-files")
+    files = spark.read.schema("url string").parquet(listed).inputFiles()  # names of the list's own files, one per FILE_BYTES of queries
+    found = whole.mapInArrow(partial(_scan, files=files, k=k), _OUT)
+    place = Window.partitionBy("file", "query").orderBy(F.desc("score"), "vec_id")
+    ranked = cut(found, "partial").withColumn("rank", F.row_number().over(place).cast("int")).where(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
