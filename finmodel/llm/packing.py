@@ -4,8 +4,8 @@ Pieces of documents go into bins of a fixed capacity, the longest first. Bins ar
 starts at the tightest bin that could hold the piece and goes on to the next ones until one is compatible: a bin carries bitmaps
 of the sources and duplicate clusters in it, and takes a piece only if it has neither. If none is compatible a bin is opened.
 
-Bins do not cross shards. A row's shard comes from its position in the written table, not from any of its values, so a shard is
-bounded and no source, cluster or repeated id makes one large.
+Bins do not cross shards. A piece's shard is a hash of its doc_id, place, source and cluster, so the bins do not depend on files or
+partitions, and no source or cluster makes a shard large. Rows without a doc_id cannot be told apart; they are dealt by position.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut
+from ._io import cut, row_key
 from .quality import BLANKS
 
 #: Words of a bin, and pieces of a shard.
@@ -52,7 +52,7 @@ def pack(lengths: list[int], sources: list, clusters: list, capacity: int) -> li
 
 def _packer(capacity: int):
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "cluster", "source", "length")])
         got = pack(*(table.column(c).to_pylist() for c in ("length", "source", "cluster")), capacity)
         cols = {c: table.column(c) for c in ("doc_id", "piece", "start", "length", "shard")}
         return pa.table(cols | {"bin": pa.array([g[0] for g in got], pa.int64()), "bin_start": pa.array([g[1] for g in got], pa.int64())})
@@ -83,10 +83,15 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD
     spans = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("long").alias("length"), "source", "cluster")
     table = cut(spans, "pieces")
     shards = max(1, math.ceil(table.count() / shard_rows))
-    sharded = table.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    sharded = table.withColumn("shard", F.pmod(F.xxhash64(row_key(F.col("source"), F.col("cluster")), F.col("piece"), F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(shards)))
     return sharded.groupBy("shard").applyInArrow(_packer(capacity), _OUT)
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """Packs every row of ``docs`` (doc_id, text, source)."""
+    """(doc_id, piece, start, length, shard, bin, bin_start) for every row of ``docs`` (doc_id, text, source), in words of whole texts.
+
+    Null, empty and blank texts are a piece of length 0; a very long text is cut into full bins and a rest; equal texts are a
+    cluster and never share a bin, nor do documents of one source; null sources conflict with nothing; repeated rows are packed
+    each; ties of length go by doc_id; other columns are ignored; an empty table gives an empty result.
+    """
     return best_fit(measured(docs))

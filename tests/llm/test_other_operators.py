@@ -57,6 +57,17 @@ def test_warc_members_stand_alone(tmp_path):
         warc.normalise(io.BytesIO(gzip.compress(b"".join(records)[:-9])), io.BytesIO())
 
 
+def test_a_gzip_that_is_cut_off_is_an_error():
+    import gzip
+    import io
+
+    whole = gzip.compress(b"".join(warc.record(i, "u", b"x" * 500, "0", None) for i in range(20)))
+    assert len(warc.normalise(io.BytesIO(whole + whole), io.BytesIO())) == 40
+    for cut in (1, 4, 8, 20, len(whole) // 2):
+        with pytest.raises(ValueError):
+            warc.normalise(io.BytesIO(whole[:-cut]), io.BytesIO())
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(3)
     alphabet = [*chat.CONTROL, "\\", " ", "] ", "a", "é", "\n", "[", "<"]
@@ -82,6 +93,18 @@ def test_plain_turns_are_not_escaped():
     assert chat.render_turn("user", "hello [x] <y>") == ("[INST] hello [x] <y> [/INST]", None)
 
 
+def test_top_k_over_several_files_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.integers(-300, 300, (900, 7))
+    df = spark.createDataFrame([(int(i), (v / 256).tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>").repartition(3)
+    want = Counter()
+    for q in range(0, 900, 50):
+        scored = sorted((-int(s), c) for c, s in enumerate(values @ values[q]) if c != q)[:5]
+        want.update((q, k, c, -s) for k, (s, c) in enumerate(scored, 1))
+    monkeypatch.setattr(topk, "FILE_BYTES", 400)
+    assert Counter(map(tuple, topk.top_k(df).collect())) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) if rng.random() < 0.7 else 0.0 for x in rng.integers(-3, 4, 6) / 4]) for i in range(120)]

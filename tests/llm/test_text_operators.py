@@ -252,6 +252,23 @@ def test_counts_after_cleaning(docs, empty):
     assert editcount.count_with_edits(empty).count() == 0
 
 
+def test_kept_trees_take_a_second_batch_of_edits(spark, docs, tmp_path):
+    bpe = bytebpe.ByteBpe(bytebpe.default_path())
+    path = str(tmp_path / "trees")
+    editcount.update(editcount.build(docs), editcount.cleaning_edits).select("doc_id", "text", "widths", "tokens").write.parquet(path)
+    got = editcount.update(spark.read.parquet(path), lambda text: [(len(text) // 2, 1, "xyz"), (0, 0, "a ")] if len(text) > 500 else []).collect()
+    want = Counter()
+    for r in docs.collect():
+        text = editcount.apply_edits(r.text or "", editcount.cleaning_edits(r.text or ""))
+        if len(text) > 500:
+            text = "a " + text[: len(text) // 2] + "xyz" + text[len(text) // 2 + 1 :]
+        want[r.doc_id, text, len(bpe.encode([text])[0]) // 4] += 1
+    assert Counter((r.doc_id, r.text, r.n_tokens_after) for r in got) == want
+    assert all(sum(r.widths) == len(r.text.encode()) and sum(r.tokens) == r.n_tokens_after for r in got)
+    long = [r for r in got if r.n_chars_after > 5000]
+    assert long and all(0 < r.n_chars_encoded < r.n_chars_after / 4 for r in long)
+
+
 def plain_pack(lengths, sources, clusters, capacity):
     bins, out = [], [None] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
@@ -290,6 +307,36 @@ def test_packing_places_every_word_once(docs, empty):
     assert packing.op8(empty).count() == 0
 
 
+def test_packing_output_equals_plain_best_fit_by_shard(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(i, rng.choice([0, 1, 30, 400, 900, 2048, 5000, rng.randint(1, 3000)]), rng.choice([None, "hot", "hot", *"abcdef"]), rng.choice([None, *range(300)])) for i in range(900)]
+    rows += rows[:20]
+    monkeypatch.setattr(packing, "SHARD_ROWS", 200)
+    df = spark.createDataFrame(rows, "doc_id long, length long, source string, cluster long")
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.shard, r.bin, r.bin_start)
+    got = packing.best_fit(df, shard_rows=200).collect()
+    other = packing.best_fit(df.repartition(7).orderBy("cluster"), shard_rows=200).collect()
+    assert Counter(map(key, got)) == Counter(map(key, other))  # files and partitions do not matter
+    of = {r[0]: r for r in rows}
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(r)
+    assert len(shards) > 3
+    pieces = Counter((i, p, max(0, min(2048, n - 2048 * p))) for i, n, _, _ in rows for p in range(max(1, -(-n // 2048))))
+    assert Counter((r.doc_id, r.piece, r.length) for r in got) == pieces
+    none = lambda x: (x is None, x if x is not None else 0)
+    for members in shards.values():
+        members.sort(key=lambda r: (r.doc_id, r.piece, none(of[r.doc_id][3])))
+        plain = plain_pack([r.length for r in members], [of[r.doc_id][2] for r in members], [of[r.doc_id][3] for r in members], packing.CAPACITY)
+        assert Counter((r.doc_id, r.piece, r.bin, r.bin_start) for r in members) == Counter((r.doc_id, r.piece, *p) for r, p in zip(members, plain, strict=True))
+        bins = {}
+        for r in members:
+            bins.setdefault(r.bin, []).append(r)
+        for held in bins.values():
+            sources, clusters = ([of[r.doc_id][k] for r in held if of[r.doc_id][k] is not None] for k in (2, 3))
+            assert sum(r.length for r in held) <= packing.CAPACITY and len(set(sources)) == len(sources) and len(set(clusters)) == len(clusters)
+
+
 def test_language_id(spark, empty):
     english, french = "the house and the garden of the king with this and that ", "la maison et le jardin du roi avec ceci et cela pour les "
     rows = [(i, (english if i % 2 else french) * (1 + i % 4), "en" if i % 2 else "fr", "a" if i % 2 else "b") for i in range(40)]
