@@ -1,7 +1,9 @@
 """The front door: a typed model, evaluated for every row of a frame of entities, for scenarios and for batches.
 
-Rows are entities x scenarios, columns are nodes. A change rebuilds only the columns that depend on it; the others come from the
-base frame, which ``cache_base`` keeps in memory. What was rebuilt and what was reused is known from the graph alone.
+Rows are entities x scenarios, columns are nodes. A change rebuilds only the columns that depend on it. A model of one row keeps the
+values of its nodes on the driver, so clean nodes are literals in the next plan; a model bound to rows keeps them in the frame that
+``cache_base`` persists, and a new input value makes only its cone stale there. ``recomputed`` lists what the plan builds, ``reused``
+what it takes from there.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ExecutionError, TypeRuleError, ValidationError
-from .expr import parse_expr
+from .expr import free_refs, parse_expr
 from .functions.kernels import Registry, default_registry
 from .functions.sql import NumericPolicy, literal, quote
 from .graph import Graph, Node
@@ -30,6 +32,10 @@ from .types import series as series_type
 SCENARIO, SCENARIO_ID = "scenario", "scenario_id"
 
 
+def _literal(value: Any) -> str:
+    return "CAST(NULL AS DOUBLE)" if value is None else literal(value)
+
+
 @dataclass
 class RunStats:
     backend: str = "columns"
@@ -49,10 +55,13 @@ class Evaluation:
     reused: list[str]
     stats: RunStats
     batch: bool = False
+    known: dict[str, Any] | None = None
 
     @property
     def values(self) -> dict[str, Any]:
         """The targets as Python values, for models of one row: floats, arrays for series, and arrays over a batch's scenarios."""
+        if self.known is not None:
+            return {t: np.array(v) if isinstance(v := self.known[t], list) else v for t in self.targets}
         df = self.frame.orderBy(SCENARIO_ID) if self.batch else self.frame.limit(2)
         table = df.select(*[quote(t) for t in self.targets]).toArrow()
         if not self.batch and table.num_rows != 1:
@@ -91,9 +100,9 @@ class FinancialModel:
         self.planner, self.backend = Planner(), None
         self._spark, self._values, self._rows = spark, {}, None
         self._types: dict[str, FinType] | None = None
-        self._valid: set[str] = set()
-        self._base: tuple[frozenset, DataFrame] | None = None
-        self._kept: DataFrame | None = None
+        self._row: dict[str, Any] = {}  # computed values of a model of one row
+        self._kept: DataFrame | None = None  # computed columns of bound rows, those of _stale out of date
+        self._stale: set[str] = set()
         self._hits = self._misses = 0
 
     # -- building
@@ -104,14 +113,19 @@ class FinancialModel:
 
     def _changed(self) -> FinancialModel:
         """After a structural edit: values stay, everything derived goes."""
-        self._types, self._valid = None, set()
+        self._types = None
         self._drop_base()
         return self
 
     def _drop_base(self) -> None:
         if self._kept is not None:
             self._kept.unpersist()
-        self._base = self._kept = None
+        self._kept = None
+        self._row, self._stale = {}, set()
+
+    def _valid(self) -> set[str]:
+        """Computed nodes whose base values are kept and up to date."""
+        return set(self._row) if self._rows is None else set() if self._kept is None else {n for n in self._kept.columns if n in self.module.nodes and n not in self._stale}
 
     def input(self, name: str, value: Any = None, *, currency: str | None = None, type: FinType | str | None = None) -> FinancialModel:
         self.module.add(Node(name, "input", self._typed(type, currency), float(value) if isinstance(value, (int, float)) else None))
@@ -144,7 +158,7 @@ class FinancialModel:
         clash = [c for c in df.columns if c in self.module.nodes and self.module.nodes[c].kind != "input"]
         if clash:
             raise ValidationError(f"columns {clash} are named like nodes that are not inputs")
-        self._rows, self._spark, self._valid = df, df.sparkSession, set()
+        self._rows, self._spark = df, df.sparkSession
         self._drop_base()
         return self
 
@@ -154,8 +168,9 @@ class FinancialModel:
         if self._rows is not None and name in self._rows.columns:
             raise ValidationError(f"{name!r} is a column of the bound rows")
         self._values[name] = value
-        self._valid -= self.module.cone([name])
-        self._drop_base()
+        dirty = self.module.cone([name])
+        self._row = {n: v for n, v in self._row.items() if n not in dirty}
+        self._stale |= dirty
         return self
 
     def set_backend(self, name: str | None) -> FinancialModel:
@@ -206,18 +221,35 @@ class FinancialModel:
         extra = input_sql(self.module, self._values, df, types, [n for n in self.module.nodes if n in needed])
         return df.selectExpr("*", *extra) if df.columns else self.spark.range(1).selectExpr(*(extra or ["id AS __row"]))
 
-    def _base_frame(self, needed: set[str], backend: str | None = None) -> tuple[DataFrame, str]:
-        if self._kept is not None and self._base is not None and needed <= self._base[0]:
-            return self._kept, "columns"
-        df, name = self._build(self._start(needed), {n for n in needed if self.module.nodes[n].kind == "computed"}, backend)
-        return df, name
+    def _base_frame(self, needed: set[str], wanted: Iterable[str], skip: set[str] = frozenset(), backend: str | None = None) -> tuple[DataFrame, set[str], str]:
+        """The rows with ``wanted`` and all that they and nodes of ``skip`` need, the nodes built for that, and the strategy. What is kept
+        is not built; computed nodes of ``skip`` are left out."""
+        computed = {n for n in needed if self.module.nodes[n].kind == "computed"} - skip
+        valid = self._valid() & computed
+        rebuilt = computed - valid
+        used = set(wanted) | {r for n in rebuilt | (skip & needed) if self.module.nodes[n].expr is not None for r in free_refs(self.module.nodes[n].expr)}
+        if self._rows is None:
+            plain = input_sql(self.module, self._values, self.spark.range(1), self.types(), [n for n in self.module.nodes if n in needed & used])
+            held = [f"{_literal(self._row[n])} AS {quote(n)}" for n in self.module.nodes if n in valid & used]
+            df = self.spark.range(1).selectExpr(*([*plain, *held] or ["id AS __row"]))
+        elif self._kept is not None:
+            keep = [c for c in self._kept.columns if c not in self.module.nodes or (c in needed and c not in self._stale and c not in skip) or c in self._rows.columns]
+            df = self._kept.selectExpr(*map(quote, keep))
+            df = df.selectExpr("*", *input_sql(self.module, self._values, df, self.types(), [n for n in self.module.nodes if n in needed and n not in keep]))
+        else:
+            df = self._start(needed)
+        df, name = self._build(df, rebuilt, backend)
+        return df, rebuilt, name
 
     def cache_base(self, targets: list[str] | None = None) -> FinancialModel:
         """Keeps the base values of the targets and all they need; later runs read the unaffected columns from there."""
+        if self._rows is None:
+            self.evaluate(targets)
+            return self
         needed = self.module.closure(self.module.targets(targets))
         self._drop_base()
-        df, _ = self._base_frame(needed)
-        self._base, self._kept = (frozenset(needed), df), df.persist()
+        df, _, _ = self._base_frame(needed, needed)
+        self._kept = df.persist()
         return self
 
     def _keys(self) -> list[str]:
@@ -240,11 +272,24 @@ class FinancialModel:
         self.types()
         needed = self.module.closure(wanted)
         order = self._computed(needed)
-        reused = [n for n in order if n in self._valid]
-        recomputed = [n for n in order if n not in self._valid]
-        df, name = self._base_frame(needed, backend)
-        self._valid |= set(order)
-        return Evaluation(self._select(df, wanted, self._keys()), wanted, recomputed, reused, self._account(recomputed, reused, name))
+        df, rebuilt, name = self._base_frame(needed, wanted, backend=backend)
+        recomputed, reused = [n for n in order if n in rebuilt], [n for n in order if n not in rebuilt]
+        stats, known = self._account(recomputed, reused, name), None
+        if self._rows is None:  # one row: its values are read once and kept
+            if recomputed:
+                row = df.select(*[F.col(quote(n)) for n in recomputed]).toArrow()
+                self._row |= {n: row.column(k)[0].as_py() for k, n in enumerate(recomputed)}
+            known = {n: self._row[n] if n in self._row else self._plain(n) for n in wanted}
+            df = self.spark.range(1).selectExpr(*[f"{_literal(known[n])} AS {quote(n)}" for n in wanted]) if wanted else df
+        return Evaluation(self._select(df, wanted, self._keys()), wanted, recomputed, reused, stats, known=known)
+
+    def _plain(self, name: str) -> Any:
+        """The value of an input or constant, as plans see it."""
+        node = self.module.nodes[name]
+        value = node.value if node.kind == "const" else self.input_value(name)
+        if self.types()[name].is_series:
+            return [float(x) for x in value or []]
+        return 0.0 if value is None else float(value)
 
     def _scenario(self, rows: DataFrame | None, override: dict[str, str], wanted: list[str], keys: list[str], backend: str | None) -> tuple[DataFrame, list[str], list[str], str]:
         """The targets with overridden inputs: SQL over the base columns and those of ``rows``, the scenarios, if there are any.
@@ -255,10 +300,7 @@ class FinancialModel:
         needed, dirty = self.module.closure(wanted), self.module.cone(override)
         order = self._computed(needed)
         rebuilt = {n for n in order if n in dirty}
-        if self._kept is not None and self._base is not None and needed | set(override) <= self._base[0]:
-            base = self._kept
-        else:
-            base, _ = self._build(self._start(needed | set(override)), set(order) - rebuilt, backend)
+        base, built, _ = self._base_frame(needed | set(override), [*wanted, *override], dirty - set(override), backend)
         if rows is not None:
             # one side is the model's own single row, or the scenarios are few stated rows (marked by the caller)
             base = rows.crossJoin(F.broadcast(base)) if self._rows is None else base.crossJoin(rows)
@@ -267,13 +309,14 @@ class FinancialModel:
         keep = [quote(c) for c in base.columns if c not in stale and (c in needed or c not in self.module.nodes)]
         df = base.selectExpr(*keep, *[f"{override[n]} AS {quote(n)}" for n in changed])
         df, name = self._build(df, rebuilt, backend)
-        recomputed = [n for n in order if n in dirty or n not in self._valid]
-        reused = [n for n in order if n not in dirty and n in self._valid]
+        recomputed = [n for n in order if n in rebuilt or n in built]
+        reused = [n for n in order if n not in rebuilt and n not in built]
         return self._select(df, wanted, keys), recomputed, reused, name
 
     def _ensure_base(self) -> None:
-        """Marks the outputs' closure valid, counting as the base run does, without building anything."""
-        if any(n not in self._valid for n in self._computed(self.module.closure(self.module.targets()))):
+        """Base values of the outputs of a model of one row, so that changes can be compared with them. Bound rows are not read."""
+        valid = self._valid()
+        if self._rows is None and any(n not in valid for n in self._computed(self.module.closure(self.module.targets()))):
             self.evaluate()
 
     def what_if(self, changes: dict[str, Any] | None = None, *, targets: list[str] | None = None, backend: str | None = None, **more: Any) -> Evaluation:
@@ -356,7 +399,6 @@ class FinancialModel:
         self._hits = self._misses = 0
 
     def invalidate_all(self) -> None:
-        self._valid = set()
         self._drop_base()
 
     # -- files and intents

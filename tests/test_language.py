@@ -108,6 +108,8 @@ def test_passes():
     assert dead.report.details["dead_node_elimination"]["removed"] == 2
     shared = compile_model("input a: scalar; input b: scalar; x = a + b; y = (a + b) * 2; output x, y")
     assert shared.report.details["common_subexpression_elimination"]["hoisted"] == 1
+    large = compile_model("input a: scalar; input b: scalar; x = (a + b) * a - 1; y = 2 - (a + b) * a; z = growth(a, b) + growth(a, b); output x, y, z")
+    assert large.report.details["common_subexpression_elimination"]["hoisted"] == 2  # a + b only stands inside a shared product
     assert len(shared.report.passes) == 9 and shared.types["y"].kind == "scalar"
     with pytest.raises(ValueError):
         compile_model("a = 1", pipeline=["nothing"])

@@ -93,18 +93,13 @@ def test_company_goldens(spark):
     assert [round(x, 2) for x in v.values()] == [41095890.41, 36986301.37, 54109589.04]
 
 
-def reference_root(cf, years):
-    f = lambda r: float(np.sum(cf / np.power(1.0 + r, years)))
-    lo, hi, flo = -0.9999, 10.0, f(-0.9999)
-    if flo * f(10.0) > 0:
-        return math.nan
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        fm = f(mid)
-        if abs(fm) < 1e-9:
-            return mid
-        lo, hi, flo = (lo, mid, flo) if flo * fm < 0 else (mid, hi, fm)
-    return 0.5 * (lo + hi)
+def is_root(rate, flows, years):
+    """Whether the flows' present value vanishes at the rate; without one, whether it has the same sign at both ends of the search."""
+    value = lambda r: np.sum(flows * np.exp(-np.log1p(r) * years))
+    if math.isnan(rate):
+        return value(-0.9999) * value(10.0) > 0
+    scale = np.sum(np.abs(flows) * np.exp(-np.log1p(rate) * years))
+    return abs(value(rate)) <= 1e-7 * scale and -1.0 < rate <= 10.0
 
 
 def test_series_kernels_against_numpy(spark):
@@ -122,7 +117,8 @@ def test_series_kernels_against_numpy(spark):
         q, top = np.quantile(s, 1 - 0.8), np.maximum.accumulate(s)
         with np.errstate(all="ignore"):
             fall = np.where(top != 0, (s - top) / top, 0.0)
-        want = {"npv": np.sum(s / 1.1**t), "irr": reference_root(s, t), "xirr": reference_root(s, np.array(b)), "variance": s.var(), "volatility": s.std(), "var": -np.quantile(s, 1 - 0.95), "cvar": -s[s <= q].mean(), "drawdown": -fall.min()}
+        want = {"npv": np.sum(s / 1.1**t), "variance": s.var(), "volatility": s.std(), "var": -np.quantile(s, 1 - 0.95), "cvar": -s[s <= q].mean(), "drawdown": -fall.min()}
+        assert is_root(got[i]["k_irr"], s, t) and is_root(got[i]["k_xirr"], s, np.array(b))
         for n, w in want.items():
             assert got[i][f"k_{n}"] == pytest.approx(w, rel=1e-7, abs=1e-9, nan_ok=True), (i, n)
 
@@ -186,6 +182,35 @@ def test_text_model_with_lengths_that_differ(spark):
     m = FinancialModel.from_ir(parse("input a: series[scalar,month]; input b: series[scalar,month]; c = a + b; output c"), spark=spark)
     m._values = {"a": [1.0, 2.0], "b": [5.0]}
     assert m.evaluate()["c"].tolist() == [6.0, 7.0]
-    m._values["b"] = [1.0, 2.0, 3.0]
+    m.set("b", [1.0, 2.0, 3.0])
     with pytest.raises(Exception, match="lengths differ"):
         m.evaluate().values
+
+
+def test_set_leaves_clean_columns_alone(spark):
+    """What is listed as reused is not in the plan; what is stale is."""
+    def steps(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    df = spark.createDataFrame([(i, 100.0 + i) for i in range(20)], "k int, a double")
+    m = FinancialModel(spark=spark).input("a").input("b", 3.0).input("c", 5.0).bind(df)
+    m.define("u", "a * 17").define("v", "b + a * 19").define("w", "c - a * 23").define("out", "u + v + w", output=True)
+    assert m.evaluate().reused == []  # nothing is kept yet
+    m.cache_base(["out"])
+    m.set("b", 4.0)
+    r = m.evaluate()
+    assert set(r.recomputed) == {"v", "out"} and set(r.reused) == {"u", "w"}
+    above = steps(r.frame).split("InMemoryRelation")[0]
+    assert "19.0" in above and "17.0" not in above and "23.0" not in above
+    assert {x["k"]: x["out"] for x in r.frame.collect()} == {i: (100.0 + i) * 17 + 4 + (100.0 + i) * 19 + 5 - (100.0 + i) * 23 for i in range(20)}
+    w = m.what_if({"c": {"delta": 1.0}})
+    assert set(w.reused) == {"u"} and "17.0" not in steps(w.frame).split("InMemoryRelation")[0]
+    assert {x["k"]: x["out"] for x in w.frame.collect()}[0] == 1700 + 4 + 1900 + 6 - 2300
+    one = FinancialModel(spark=spark).input("a", 2.0).input("b", 3.0).define("u", "a * 17").define("v", "u + b * 19").define("out", "v * 2", output=True)
+    assert one.evaluate().values == {"out": 182.0}
+    r = one.set("b", 4.0).evaluate()
+    assert set(r.recomputed) == {"v", "out"} and r.reused == ["u"] and r.values == {"out": 220.0}
+    again = one.evaluate()
+    assert again.recomputed == [] and again.values == r.values and again.frame.collect()[0]["out"] == 220.0
+    w = one.what_if({"b": "+100%"})
+    assert w.reused == ["u"] and "17.0" not in steps(w.frame) and w.values == {"out": 372.0}

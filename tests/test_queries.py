@@ -54,7 +54,8 @@ def test_text_to_sweep_and_refusals():
     for text in ("Take the company public", "There is an emergency: merge with a rival", "List on the stock exchange"):
         assert nl.compile_text(text)["status"] == "unsupported"
     assert nl.compile_text("This is an issue about emergency stock")["status"] == "ambiguous"
-    assert nl.spelled_number("two hundred and fifty thousand") == 250_000 and nl.spelled_number("five bananas") is None
+    assert nl.spelled(nl.tokens("two hundred fifty-five thousand rand"), 0) == (255_000.0, 6) and nl.spelled(nl.tokens("bananas"), 0) is None
+    assert nl.clauses(nl.tokens("Raise revenue by 1,500; then cut opex, and trim debt by 3 and also stock."))[1][0].text == "cut"
     assert nl.SimpleIntentCompiler({"rent": "opex"}).compile("Raise rent 5%")["operations"][0]["target"] == "opex"
 
 
