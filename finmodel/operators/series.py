@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.kernels import _root
 
 
-def collect_series(df: DataFrame, by: list[str], t: str, value: str, name: str = "series") -> DataFrame:
-    """One array per entity, in the order of ``t``."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))))
-    return df.groupBy(*by).agg(F.transform(rows, lambda s: s["v"]).alias(name))
+def collect_series(df: DataFrame, by: list[str], t: str, value: str, name: str = "series", **more: str) -> DataFrame:
+    """One array per entity, in the order of ``t``; ``more`` names further columns and their arrays, from the same aggregate."""
+    columns = {name: value} | more
+    rows = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns.values())])))
+    arrays = df.groupBy(*by).agg(rows.alias("rows__"))
+    return arrays.select(*by, *[F.expr(f"transform(rows__, s -> s.v{k})").alias(n) for k, n in enumerate(columns)])
 
 
 def explode_series(df: DataFrame, name: str, t: str = "t", value: str = "value") -> DataFrame:
@@ -32,11 +34,10 @@ def npv(df: DataFrame, by: list[str], t: str, value: str, rate: float | Column,
 
 def irr(df: DataFrame, by: list[str], t: str, value: str, name: str = "irr", years: str | None = None) -> DataFrame:
     """Internal rate of return per entity; with ``years`` at those offsets instead of 0, 1, 2 ..."""
-    flows = collect_series(df, by, t, value, "flows__")
     if years is None:
-        return flows.select(*by, F.expr(_root("flows__", None)).alias(name))
-    offsets = collect_series(df, by, t, years, "years__")
-    return flows.join(offsets, by).select(*by, F.expr(_root("flows__", "years__")).alias(name))
+        return collect_series(df, by, t, value, "flows__").select(*by, F.expr(_root("flows__", None)).alias(name))
+    both = collect_series(df, by, t, value, "flows__", years__=years)
+    return both.select(*by, F.expr(_root("flows__", "years__")).alias(name))
 
 
 def variance(df: DataFrame, by: list[str], value: str, name: str = "variance") -> DataFrame:
@@ -48,14 +49,21 @@ def volatility(df: DataFrame, by: list[str], value: str, name: str = "volatility
 
 
 def value_at_risk(df: DataFrame, by: list[str], value: str, level: float = 0.95, name: str = "var") -> DataFrame:
-    """Minus the exact quantile at 1 - level."""
+    """Minus the exact quantile at 1 - level. Memory of a group follows its number of distinct values."""
     return df.groupBy(*by).agg((-F.percentile(value, F.lit(1.0 - level))).alias(name))
 
 
 def expected_shortfall(df: DataFrame, by: list[str], value: str, level: float = 0.95, name: str = "cvar") -> DataFrame:
-    """Minus the mean of the values up to the quantile: a grouped quantile joined back, so no group is held in one window."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.lit(1.0 - level)).alias("cut__"))
-    return df.join(cut, by).where(F.col(value) <= F.col("cut__")).groupBy(*by).agg((-F.avg(value)).alias(name))
+    """Minus the mean of the values up to the quantile at 1 - level.
+
+    Equal values are counted first (combined map-side), then a running count tells which lie below: one read of ``df``, and a window
+    that sorts and spills instead of a group held in memory.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v__")).agg(F.count("*").alias("c__"))
+    group = Window.partitionBy(*by)
+    placed = counts.select(*by, "v__", "c__", F.sum("c__").over(group.orderBy("v__")).alias("upto__"), F.sum("c__").over(group).alias("n__"))
+    low = placed.where(F.expr(f"upto__ - c__ <= floor((n__ - 1) * {1.0 - level!r}D)"))
+    return low.groupBy(*by).agg((-F.sum(F.col("v__") * F.col("c__")) / F.sum("c__")).alias(name))
 
 
 def drawdown(df: DataFrame, by: list[str], t: str, value: str, name: str = "drawdown") -> DataFrame:

@@ -241,7 +241,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = series.period_change(lens.series(spark, sf_dir, "nation", "month"), ["entity"], "t", "value", "r", relative=True)
+    got = series.period_change(lens.series(spark, sf_dir, "nation", "month", ("value",)), ["entity"], "t", "value", "r", relative=True)
     return got.where("r IS NOT NULL").select("entity", "t", "r")
 
 
@@ -301,7 +301,7 @@ def k_cvar95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("k_drawdown", f"SELECT entity, round(max((top - value) / top), 9) AS drawdown FROM (SELECT *, max(value) OVER (PARTITION BY entity ORDER BY t ROWS UNBOUNDED PRECEDING) AS top FROM ({_MONTHS})) GROUP BY entity")
 def k_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = series.drawdown(lens.series(spark, sf_dir, "nation", "month"), ["entity"], "t", "value")
+    df = series.drawdown(lens.series(spark, sf_dir, "nation", "month", ("value",)), ["entity"], "t", "value")
     return rounded(df, ["entity"], {"drawdown": 9})
 
 
@@ -316,7 +316,7 @@ def t_return_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("mom_change", f"SELECT entity, t, round(value - prev, 4) AS change, round((value - prev) / prev, 9) AS share FROM (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY t) AS prev FROM ({_MONTHS}))")
 def mom_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = series.period_change(lens.series(spark, sf_dir, "nation", "month"), ["entity"], "t", "value")
+    df = series.period_change(lens.series(spark, sf_dir, "nation", "month", ("value",)), ["entity"], "t", "value")
     df = series.period_change(df, ["entity"], "t", "value", "share", relative=True)
     return rounded(df, ["entity", "t"], {"change": 4, "share": 9})
 
@@ -324,9 +324,8 @@ def mom_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("series_elementwise", f"SELECT entity, t, round(value * 1.05::DOUBLE - cogs, 2) AS margin FROM ({_YEARS})")
 def series_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arithmetic between series held as arrays, exploded again."""
-    rows = lens.series(spark, sf_dir, "region", "year")
-    a, b = (series.collect_series(rows, ["entity"], "t", c, n) for c, n in (("value", "sales"), ("cogs", "costs")))
-    m = FinancialModel("s").input("sales", type="series[money[ZAR],year]").input("costs", type="series[money[ZAR],year]").bind(a.join(b, "entity"))
+    rows = series.collect_series(lens.series(spark, sf_dir, "region", "year", ("value", "cogs")), ["entity"], "t", "value", "sales", costs="cogs")
+    m = FinancialModel("s").input("sales", type="series[money[ZAR],year]").input("costs", type="series[money[ZAR],year]").bind(rows)
     df = m.define("margin", "sales * 1.05 - costs", output=True).evaluate().frame
     return series.explode_series(df, "margin", "t", "m").select("entity", F.col("t").cast("long").alias("t"), F.round("m", 2).alias("margin"))
 

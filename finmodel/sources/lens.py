@@ -26,29 +26,33 @@ def _total(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(18,0)")).cast("double") / 10_000
 
 
-def orders_with_amounts(spark: SparkSession, sf_dir: str, entity: str = "region") -> DataFrame:
+def orders_with_amounts(spark: SparkSession, sf_dir: str, entity: str = "region", goods: bool = True) -> DataFrame:
     """A row per order: entity, month, year, and the sums of its line items.
 
     Amounts are in ten-thousandths: products of two-digit decimals are exact there, so totals do not depend on the order of rows.
     Line items are summed per order first. Their files are clustered by order, so the map-side sums shrink the one large shuffle,
-    and the join with orders reuses its partitioning.
+    and the join with orders reuses its partitioning. Only the cost of goods needs the price list; without ``goods`` it is not
+    read, which for a price list too large to broadcast saves a shuffle of all line items.
     """
     t = lambda name: table(spark, sf_dir, name)
     customers = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     owners = customers.select("c_custkey", F.col(ENTITIES[entity]).alias("entity"))
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(owners, F.col("o_custkey") == F.col("c_custkey"))
-    prices = t("part").select("p_partkey", "p_retailprice")
-    items = t("lineitem").join(prices, F.col("l_partkey") == F.col("p_partkey"))
+    items, sums = t("lineitem"), {}
+    if goods:
+        prices = t("part").select("p_partkey", "p_retailprice")
+        items = items.join(prices, F.col("l_partkey") == F.col("p_partkey"))
+        sums["cogs"] = F.sum(_hundredths("l_quantity") * _hundredths("p_retailprice"))
     per_order = items.groupBy("l_orderkey").agg(
         F.sum(_hundredths("l_extendedprice") * (100 - _hundredths("l_discount"))).alias("revenue"),
-        F.sum(_hundredths("l_quantity") * _hundredths("p_retailprice")).alias("cogs"),
+        *[total.alias(name) for name, total in sums.items()],
         F.sum(_hundredths("l_extendedprice") * _hundredths("l_tax")).alias("opex"),
         F.sum(F.unix_date(F.col("l_shipdate").cast("date")).cast("long")).alias("shipped"),
         F.count("l_shipdate").alias("n"),
     )
     day = F.unix_date(F.col("o_orderdate").cast("date"))
     return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "entity", F.date_trunc("month", "o_orderdate").alias("month"), F.year("o_orderdate").alias("year"), "revenue", "cogs", "opex", (F.col("shipped") - F.col("n") * day).alias("days"), "n"
+        "entity", F.date_trunc("month", "o_orderdate").alias("month"), F.year("o_orderdate").alias("year"), "revenue", *sums, "opex", (F.col("shipped") - F.col("n") * day).alias("days"), "n"
     )
 
 
@@ -59,10 +63,11 @@ def profit_and_loss(spark: SparkSession, sf_dir: str, entity: str = "region") ->
     return sums.select("*", F.lit(45.0).alias("payable_days"), (F.col("cogs") * 0.125).alias("inventory"))
 
 
-def series(spark: SparkSession, sf_dir: str, entity: str = "region", period: str = "year") -> DataFrame:
-    """(entity, t, value, cogs, opex): revenue by period, ``t`` counting an entity's periods from 0."""
-    rows = orders_with_amounts(spark, sf_dir, entity).groupBy("entity", period).agg(*[_total(c).alias(n) for c, n in (("revenue", "value"), ("cogs", "cogs"), ("opex", "opex"))])
-    return rows.select("entity", (F.expr(f"row_number() OVER (PARTITION BY entity ORDER BY {period})") - 1).alias("t"), "value", "cogs", "opex")
+def series(spark: SparkSession, sf_dir: str, entity: str = "region", period: str = "year", measures: tuple[str, ...] = ("value", "cogs", "opex")) -> DataFrame:
+    """(entity, t, measures...): by period, ``value`` being revenue and ``t`` counting an entity's periods from 0."""
+    sums = [_total({"value": "revenue"}.get(m, m)).alias(m) for m in measures]
+    rows = orders_with_amounts(spark, sf_dir, entity, "cogs" in measures).groupBy("entity", period).agg(*sums)
+    return rows.select("entity", (F.expr(f"row_number() OVER (PARTITION BY entity ORDER BY {period})") - 1).alias("t"), *measures)
 
 
 # The same as SQL, for checks: ENTITY and PERIOD are put in by the caller.

@@ -105,3 +105,19 @@ def test_entry_imports_without_the_optional_subpackage(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert 'income_statement' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).returncode == 0
+
+
+def test_fact_tables_are_read_once(spark):
+    """No plan reads line items twice; revenue alone does not read the price list."""
+    from finmodel import queries
+
+    sf = "/root/testdata/sf0.001"
+
+    def reads(name, table):
+        scans = queries.QUERIES[name](spark, sf).select("*")._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(f"{table}.parquet" in str(scans.apply(i).relation().location().rootPaths()) for i in range(scans.size()) if "LogicalRelation" in scans.apply(i).getClass().getName())
+
+    for name in ("k_cvar95", "k_xirr", "k_irr", "series_elementwise", "k_var95", "k_drawdown", "mom_change", "income_statement"):
+        assert reads(name, "lineitem") == 1, name
+    for name in ("k_cvar95", "k_var95", "k_drawdown", "k_variance", "k_volatility", "t_return_risk", "mom_change"):
+        assert reads(name, "part") == 0, name
