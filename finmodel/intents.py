@@ -225,7 +225,7 @@ def structural_errors_column() -> Column:
     """The messages of ``structural_errors`` for the columns of ``parse_rows``, in no particular order."""
     ops, named = F.coalesce("operations", F.array().cast(f"array<{OPERATION_DDL}>")), F.coalesce("scenarios", F.array().cast(f"array<struct<name: string, operations: array<{OPERATION_DDL}>>>"))
     status = F.coalesce("status", F.lit("valid"))
-    targets = F.transform(ops, lambda o: o["target"])
+    targets, names = F.transform(ops, lambda o: o["target"]), F.transform(named, lambda s: F.coalesce(s["name"], F.lit("")))
     envelope = F.array_compact(
         F.array(
             F.when(F.coalesce("schema_version", F.lit(SCHEMA_VERSION)) != SCHEMA_VERSION, F.lit("wrong schema_version")),
@@ -234,12 +234,25 @@ def structural_errors_column() -> Column:
             F.when((F.size(ops) > 0) & (F.size(named) > 0), F.lit("operations and scenarios exclude each other")),
             F.when(F.size(F.array_distinct(targets)) < F.size(targets), F.lit("repeated targets")),
             F.when((F.size(ops) > 1) & F.exists(ops, lambda o: o["operation"] == "range"), F.lit("a range must be the only operation")),
-            F.when(F.exists(named, lambda s: F.coalesce(s["name"], F.lit("")) == ""), F.lit("a scenario needs a name")),
-            F.when(F.exists(named, lambda s: F.exists(s["operations"], lambda o: o["operation"] == "range")), F.lit("range is not allowed in a scenario")),
+            F.when(F.size(F.array_distinct(names)) < F.size(names), F.lit("repeated scenarios")),
+        )
+    )
+    of = lambda s: F.concat(F.lit("scenario '"), F.coalesce(s["name"], F.lit("")), F.lit("': "))
+    unlike = lambda s: F.size(F.array_distinct(F.transform(s["operations"], lambda o: o["target"])))
+    by_scenario = F.flatten(
+        F.transform(
+            named,
+            lambda s: F.array_compact(
+                F.array(
+                    F.when(F.coalesce(s["name"], F.lit("")) == "", F.lit("a scenario needs a name")),
+                    F.when(unlike(s) < F.size(s["operations"]), F.concat(of(s), F.lit("repeated targets"))),
+                    F.when(F.exists(s["operations"], lambda o: o["operation"] == "range"), F.concat(of(s), F.lit("range is not allowed"))),
+                )
+            ),
         )
     )
     inner = F.flatten(F.transform(F.concat(ops, F.flatten(F.transform(named, lambda s: s["operations"]))), _op_messages))
-    return F.concat(envelope, inner)
+    return F.concat(envelope, by_scenario, inner)
 
 
 def semantic_rows(ops: DataFrame, inputs: DataFrame) -> DataFrame:

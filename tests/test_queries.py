@@ -121,3 +121,34 @@ def test_fact_tables_are_read_once(spark):
         assert reads(name, "lineitem") == 1, name
     for name in ("k_cvar95", "k_var95", "k_drawdown", "k_variance", "k_volatility", "t_return_risk", "mom_change"):
         assert reads(name, "part") == 0, name
+
+
+def test_column_checks_agree_with_those_of_one_request(spark):
+    import json
+    import random
+
+    from finmodel import intents
+
+    rng = random.Random(17)
+
+    def operation():
+        op = {"operation": rng.choice(["set", "relative_change", "absolute_change", "range"]), "target": rng.choice(["a", "b", "c"])}
+        for field, some in {"value": [1.0, 0.5], "min": [1.0], "max": [9.0], "steps": [1, 5], "unit": ["days", "cats"], "currency": ["ZAR", "zar"]}.items():
+            if rng.random() < (0.75 if (field == "value") != (op["operation"] == "range") else 0.1):
+                op[field] = rng.choice(some)
+        return op
+
+    payloads = []
+    for _ in range(400):
+        p = {"schema_version": rng.choice(["1.0", "1.0", "1.0", "9"]), "status": rng.choice(["valid", "valid", "valid", "ambiguous"])}
+        if rng.random() < 0.6:
+            p["operations"] = [operation() for _ in range(rng.randint(0, 3))]
+        if rng.random() < 0.6:
+            p["scenarios"] = [{"name": rng.choice(["x", "y", "z", ""]), "operations": [operation() for _ in range(rng.randint(0, 3))]} for _ in range(rng.randint(0, 3))]
+        payloads.append(p)
+    df = intents.parse_rows(spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "id int, payload string"))
+    got = {r.id: r.e for r in df.select("id", intents.structural_errors_column().alias("e")).collect()}
+    for i, p in enumerate(payloads):
+        want = intents.structural_errors(intents.normalise(p))
+        assert len(got[i]) == len(want), (p, got[i], want)
+        assert ("repeated" in " ".join(got[i])) == ("repeated" in " ".join(want))
