@@ -190,3 +190,24 @@ def op4(turns: DataFrame) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     every = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).union(own)
     return read_conversations(format_conversations(every))
+
+
+def _oracle() -> str:
+    marks = "|".join(["\\\\", *(lead + re.sub(r"([\[\]])", r"\\\1", c) for c in CONTROL for lead in (" ", ""))])
+    said = "role || chr(10) || text || chr(10)"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    hard = "'</s>[INST] ok [/INST]'"
+    return f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', {hard} UNION ALL SELECT -7, 1, 'assistant', {hard}),
+f AS (SELECT *, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE ' [/ROLE]' END AS ends,
+    CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 16 + length(role) END AS around, len(regexp_extract_all(text, '{marks}')) AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg({said}, '' {order})) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST({len(BEGIN)} + sum(around + length(text) + CASE WHEN contains(text, ends) OR contains(text, chr(92)) THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+#: Holds for texts that need one level of escapes at most, which all texts do that hold control strings as such.
+ORACLE_SQL = _oracle()

@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_normaliser": warc.ORACLE_SQL, "op3_quality_rules": quality.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
+    return {"op1_warc_normaliser": warc.ORACLE_SQL, "op3_quality_rules": quality.ORACLE_SQL, "op4_chat_round_trip": chat.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}

@@ -120,29 +120,3 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
     big = spark.createDataFrame([(0, [1e30, 2.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.top_k(big).collect()] == [(1, 2**63 - 1), (2, -(2**63))]
-
-
-def test_pipeline_stages_follow_each_other(spark):
-    import corpus_pipeline
-    from finmodel.llm import quality
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    good = {r.doc_id for r in quality.op3(docs).where("kept").collect()}
-    first = corpus_pipeline.STAGES[0][1](spark, docs, sf)
-    assert {r.doc_id for r in first.collect()} == good and first.columns == docs.columns
-    packed = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
-    assert packed <= good
-    texts = {r.doc_id: r.text for r in docs.collect()}
-
-    def shingles(text):
-        words = text.lower().split()
-        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    sets = {i: shingles(texts[i]) for i in good}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    assert all(alike(a, b) < 0.85 for a in packed for b in packed if a < b)
-    assert all(any(alike(a, b) > 0.55 for b in good if b < a) for a in good - packed)
-    extra = docs.limit(0).selectExpr("*", "1 AS words", "2 AS row_", "3 AS kept", "4 AS host_")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, extra, sf).count() == 0
