@@ -24,7 +24,7 @@ from .bytebpe import as_texts
 
 MARK = "▁"
 #: Words and pairs kept per worker; each cache is emptied when it is full.
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 300_000, 2_000_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 1_000_000, 2_000_000, 48
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -51,6 +51,8 @@ class PrefixTable:
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any(sp.encode(t, out_type=int) != self.plain(t) for t in (" a", "a  b", "　ﬁ ", "")):
             raise ValueError("only BPE models with a leading blank and without normalisation are supported")
         self.chars = {c for c in self.ids if len(c) == 1}
+        #: Marks that no piece has after a letter: at the end of a word they are encoded on their own.
+        self.enders = {c for c in ".,;:!?" if not any(c == b and a.isalpha() for p in self.ids for a, b in zip(p, p[1:]))}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
@@ -90,24 +92,18 @@ class PrefixTable:
     def segment(self, text: str) -> list[int]:
         """Ids of a stretch that no merge leaves, from its prefix table."""
         n = len(text)
-        last, size = [0] * (n + 1), [0] * (n + 1)  # by the prefix's length; -1: a character without a piece
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(text):
-            found[end + 1].append(match)
+        last, size = [-1] * (n + 1), [1] * (n + 1)  # by the prefix's length; -1: a character without a piece
         fits, fit = self.fits, self.fit
-        for i in range(1, n + 1):
-            for length, piece in found[i]:
-                j = i - length
-                if j:
-                    before = last[j]
-                    if before >= 0:
-                        ok = fits.get(before << 32 | piece)
-                        if not (fit(before, piece) if ok is None else ok):
-                            continue
-                last[i], size[i] = piece, length
-                break
-            else:
-                last[i], size[i] = -1, 1
+        for end, (length, piece) in self.automaton.iter(text):  # ends ascend
+            i = end + 1
+            if last[i] >= 0:
+                continue
+            j = i - length
+            if j and (before := last[j]) >= 0:
+                ok = fits.get(before << 32 | piece)
+                if not (fit(before, piece) if ok is None else ok):
+                    continue
+            last[i], size[i] = piece, length
         out, i = [], n
         while i:
             if last[i] >= 0:
@@ -121,6 +117,8 @@ class PrefixTable:
         """Ids, as uint32 bytes, of a word with its leading blank mark (or of a run of them with what follows)."""
         if "\n" in word and "\n" not in self.chars:  # a line end has no piece: it splits a word
             got = np.array([self.byte[10]], "<u4").tobytes().join(self.cached(p) if p else b"" for p in word.split("\n"))
+        elif word[-1] in self.enders and word[-2:-1].isalpha():
+            got = self.cached(word[:-1]) + self.cached(word[-1])
         else:
             got = np.array(self.segment(word), "<u4").tobytes()
         return got
@@ -221,6 +219,10 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def op10(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes each row's whole text in one pass, without a shuffle."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes each row's whole text in one pass, without a shuffle.
+
+    Null and empty texts are the begin and end ids alone; a text is encoded whole, however long; doc_ids may be null or repeat, and
+    equal rows each have their row; other columns are ignored; an empty table gives an empty result.
+    """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_round, path=model_path or default_path()), schema)
