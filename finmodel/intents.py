@@ -175,6 +175,11 @@ def semantic_errors(op: dict, types: dict[str, FinType], inputs: set[str]) -> li
 _SPEC = {"relative_change": "relative", "set": "absolute", "absolute_change": "delta"}
 
 
+def changes_of(ops: list[dict]) -> dict[str, dict]:
+    """Operations, none of them a range, as change specs by input."""
+    return {o["target"]: {_SPEC[o["operation"]]: o["value"]} for o in ops}
+
+
 def execute(model, payload: Any) -> Any:
     """Checks a request against the model and runs it."""
     intent = check(payload)
@@ -186,13 +191,12 @@ def execute(model, payload: Any) -> Any:
     types, inputs = model.types(), {n.name for n in model.module.of_kind("input")}
     if errors := [e for ops in (intent["operations"], *groups.values()) for o in ops for e in semantic_errors(o, types, inputs)]:
         raise IntentError(errors)
-    specs = lambda ops: {o["target"]: {_SPEC[o["operation"]]: o["value"]} for o in ops}
     if groups:
-        return model.scenarios({name: specs(ops) for name, ops in groups.items()})
+        return model.scenarios({name: changes_of(ops) for name, ops in groups.items()})
     first = intent["operations"][0]
     if first["operation"] == "range":
         return model.sweep(first["target"], first["min"], first["max"], first["steps"])
-    return model.what_if(specs(intent["operations"]))
+    return model.what_if(changes_of(intent["operations"]))
 
 
 # -- over DataFrames of payloads
@@ -255,17 +259,30 @@ def structural_errors_column() -> Column:
     return F.concat(envelope, by_scenario, inner)
 
 
+def _problem(known: Column, kind: Column, slot: Column, operation: Column, unit: Column, currency: Column) -> Column:
+    """What is wrong with an operation on an input (``known``) of this kind and currency, or null."""
+    cash, plain = kind == "money", F.array(F.lit("scalar"), F.lit("percentage"), F.lit("ratio"))
+    allowed = F.when(cash, F.array(F.lit("money"))).when(kind == "days", F.array(F.lit("days"))).when(kind.isin("percentage", "ratio", "scalar"), plain).otherwise(F.array(F.lit("scalar")))
+    return (
+        F.when(~known, "not an input")
+        .when(operation == "relative_change", F.lit(None))
+        .when(cash & currency.isNotNull() & (currency != slot), "currency mismatch")
+        .when(~cash & currency.isNotNull(), "no currency expected")
+        .when(unit.isNotNull() & ~F.array_contains(allowed, unit), "unit mismatch")
+    )
+
+
 def semantic_rows(ops: DataFrame, inputs: DataFrame) -> DataFrame:
     """``ops`` (id, operation, target, unit, currency) with ``problem``, by a join with ``inputs`` (name, kind, currency)."""
     i = inputs.select(F.col("name").alias("__n"), F.col("kind").alias("__k"), F.col("currency").alias("__c"))
     j = ops.join(F.broadcast(i), F.col("target") == F.col("__n"), "left")  # inputs are the declared slots of one model
-    cash = F.col("__k") == "money"
-    allowed = F.when(cash, F.array(F.lit("money"))).when(F.col("__k") == "days", F.array(F.lit("days"))).when(F.col("__k").isin("percentage", "ratio", "scalar"), F.array(F.lit("scalar"), F.lit("percentage"), F.lit("ratio"))).otherwise(F.array(F.lit("scalar")))
-    problem = (
-        F.when(F.col("__n").isNull(), "not an input")
-        .when(F.col("operation") == "relative_change", F.lit(None))
-        .when(cash & F.col("currency").isNotNull() & (F.col("currency") != F.col("__c")), "currency mismatch")
-        .when(~cash & F.col("currency").isNotNull(), "no currency expected")
-        .when(F.col("unit").isNotNull() & ~F.array_contains(allowed, F.col("unit")), "unit mismatch")
-    )
-    return j.withColumn("problem", problem).drop("__n", "__k", "__c")
+    c = F.col
+    return j.withColumn("problem", _problem(c("__n").isNotNull(), c("__k"), c("__c"), c("operation"), c("unit"), c("currency"))).drop("__n", "__k", "__c")
+
+
+def semantic_problems_column(operations: Column, types: dict[str, FinType]) -> Column:
+    """The problems of an array of operations on a model whose inputs have these types; the inputs are literals of the plan."""
+    slot = lambda t: F.struct(F.lit(t.kind if not is_money(t) else "money").alias("kind"), F.lit(currency_of(t)).cast("string").alias("currency"))
+    slots = F.create_map(*[x for n, t in types.items() for x in (F.lit(n), slot(t))])
+    found = lambda o: F.element_at(slots, o["target"])
+    return F.array_compact(F.transform(operations, lambda o: _problem(found(o).isNotNull(), found(o)["kind"], found(o)["currency"], o["operation"], o["unit"], o["currency"])))

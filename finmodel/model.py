@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -24,8 +25,9 @@ from .functions.kernels import Registry, default_registry
 from .functions.sql import NumericPolicy, literal, quote
 from .graph import Graph, Node
 from .operators.changes import linspace, parse_change, resolve_change, scenario_rows, scenario_sql
-from .plans.columns import add_nodes, clean_inputs, input_sql
-from .plans.planner import Planner, WorkloadProfile, add_nodes_arrow, uses_python
+from .plans.columns import clean_inputs, input_sql
+from .plans.planner import Planner, Strategy, WorkloadProfile, uses_python
+from .sources.files import beside, read_text, write_text
 from .types import SCALAR, FinType, money, parse_type
 from .types import series as series_type
 
@@ -173,8 +175,11 @@ class FinancialModel:
         self._stale |= dirty
         return self
 
-    def set_backend(self, name: str | None) -> FinancialModel:
-        self.backend = None if name is None else self.planner.get(name)
+    def set_backend(self, strategy: str | Strategy | None) -> FinancialModel:
+        """The strategy of later runs, by name or a strategy of the user's; None leaves it to the planner. Kept values go, since
+        another strategy may compute others."""
+        self.backend = None if strategy is None else self.planner.get(strategy)
+        self._drop_base()
         return self
 
     @classmethod
@@ -206,13 +211,11 @@ class FinancialModel:
         return self._spark
 
     # -- evaluation
-    def _build(self, df: DataFrame, names: set[str], backend: str | None) -> tuple[DataFrame, str]:
-        """``df`` with the computed nodes of ``names``, by the strategy that suits them."""
-        python = uses_python(self.module, names, self.kernels)
-        name = backend or self.backend or self.planner.choose(WorkloadProfile(1, len(names), python)).name
-        if self.planner.get(name) == "arrow":
-            return add_nodes_arrow(df, self.module, names, self.kernels, self.policy), name
-        return add_nodes(df, self.module, names, self.types(), self.kernels, self.policy), name
+    def _build(self, df: DataFrame, names: set[str], backend: str | Strategy | None) -> tuple[DataFrame, str]:
+        """``df`` with the computed nodes of ``names``, by the strategy that is asked for or suits them."""
+        asked = backend or self.backend or self.planner.choose(WorkloadProfile(1, len(names), uses_python(self.module, names, self.kernels))).name
+        strategy = self.planner.get(asked)
+        return strategy.add_nodes(df, self.module, names, self.types(), self.kernels, self.policy), strategy.name
 
     def _start(self, needed: set[str]) -> DataFrame:
         """The rows with the inputs and constants of ``needed``."""
@@ -221,7 +224,7 @@ class FinancialModel:
         extra = input_sql(self.module, self._values, df, types, [n for n in self.module.nodes if n in needed])
         return df.selectExpr("*", *extra) if df.columns else self.spark.range(1).selectExpr(*(extra or ["id AS __row"]))
 
-    def _base_frame(self, needed: set[str], wanted: Iterable[str], skip: set[str] = frozenset(), backend: str | None = None) -> tuple[DataFrame, set[str], str]:
+    def _base_frame(self, needed: set[str], wanted: Iterable[str], skip: set[str] = frozenset(), backend: str | Strategy | None = None) -> tuple[DataFrame, set[str], str]:
         """The rows with ``wanted`` and all that they and nodes of ``skip`` need, the nodes built for that, and the strategy. What is kept
         is not built; computed nodes of ``skip`` are left out."""
         computed = {n for n in needed if self.module.nodes[n].kind == "computed"} - skip
@@ -267,7 +270,7 @@ class FinancialModel:
         self._misses += len(recomputed)
         return RunStats(backend, len(recomputed), len(reused), self._hits / max(1, self._hits + self._misses), size)
 
-    def evaluate(self, targets: list[str] | None = None, *, backend: str | None = None) -> Evaluation:
+    def evaluate(self, targets: list[str] | None = None, *, backend: str | Strategy | None = None) -> Evaluation:
         wanted = self.module.targets(targets)
         self.types()
         needed = self.module.closure(wanted)
@@ -291,7 +294,7 @@ class FinancialModel:
             return [float(x) for x in value or []]
         return 0.0 if value is None else float(value)
 
-    def _scenario(self, rows: DataFrame | None, override: dict[str, str], wanted: list[str], keys: list[str], backend: str | None) -> tuple[DataFrame, list[str], list[str], str]:
+    def _scenario(self, rows: DataFrame | None, override: dict[str, str], wanted: list[str], keys: list[str], backend: str | Strategy | None) -> tuple[DataFrame, list[str], list[str], str]:
         """The targets with overridden inputs: SQL over the base columns and those of ``rows``, the scenarios, if there are any.
 
         What no override touches is built once per entity, before scenarios multiply the rows; all overrides are one projection
@@ -319,7 +322,7 @@ class FinancialModel:
         if self._rows is None and any(n not in valid for n in self._computed(self.module.closure(self.module.targets()))):
             self.evaluate()
 
-    def what_if(self, changes: dict[str, Any] | None = None, *, targets: list[str] | None = None, backend: str | None = None, **more: Any) -> Evaluation:
+    def what_if(self, changes: dict[str, Any] | None = None, *, targets: list[str] | None = None, backend: str | Strategy | None = None, **more: Any) -> Evaluation:
         specs = {n: parse_change(s) for n, s in {**(changes or {}), **more}.items()}
         self._require_inputs(specs)
         self._ensure_base()
@@ -350,7 +353,7 @@ class FinancialModel:
             out[label] = Evaluation(frame.where(F.col(SCENARIO) == label).drop(SCENARIO), wanted, recomputed, reused, self._account(recomputed, reused, "columns"))
         return out
 
-    def run_scenarios(self, arrays: dict[str, Any] | None = None, *, targets: list[str] | None = None, backend: str | None = None, **more: Any) -> Evaluation:
+    def run_scenarios(self, arrays: dict[str, Any] | None = None, *, targets: list[str] | None = None, backend: str | Strategy | None = None, **more: Any) -> Evaluation:
         """A batch: the arrays are zipped by position, those of one value repeat; a row per position and entity."""
         given = {n: np.atleast_1d(np.asarray(v, float)).ravel() for n, v in {**(arrays or {}), **more}.items()}
         self._require_inputs(given)
@@ -364,7 +367,7 @@ class FinancialModel:
         columns = {SCENARIO_ID: pa.array(np.arange(size))} | {f"__new_{k}": pa.array(np.broadcast_to(v, (size,))) for k, v in enumerate(given.values())}
         return self.run_frame(self.spark.createDataFrame(pa.table(columns)), {n: f"__new_{k}" for k, n in enumerate(given)}, targets, backend, size)
 
-    def run_frame(self, scenarios: DataFrame, columns: dict[str, str], targets: list[str] | None = None, backend: str | None = None, size: int | None = None) -> Evaluation:
+    def run_frame(self, scenarios: DataFrame, columns: dict[str, str], targets: list[str] | None = None, backend: str | Strategy | None = None, size: int | None = None) -> Evaluation:
         """A batch whose scenarios are rows of a DataFrame (``scenario_id`` and a column per changed input), of any number."""
         self._require_inputs(columns)
         wanted = self.module.targets(targets)
@@ -402,17 +405,35 @@ class FinancialModel:
         self._drop_base()
 
     # -- files and intents
-    def save(self, path: str) -> None:
+    def save(self, path: str | os.PathLike, *, rows: bool = False) -> None:
+        """The graph and the input values as JSON, on any file system that Spark reaches. With ``rows``, the bound rows as Parquet
+        beside it, together with the columns that ``cache_base`` keeps and that are up to date: a loaded model reads those instead
+        of building them. Each save writes rows of its own, so a model can be saved over the file that it came from.
+        """
+        path = os.fspath(path)
         values = {n: v if isinstance(v, (int, float)) else [float(x) for x in v] for n, v in self._values.items()}
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"module": self.module.to_json(), "values": values}, f, indent=2)
+        whole = {"module": self.module.to_json(), "values": values}
+        if rows:
+            if self._rows is None:
+                raise ValidationError("no rows are bound")
+            name = f"{os.path.basename(path)}.{uuid.uuid4().hex[:12]}.rows"
+            given = self._rows.columns
+            kept = self._rows if self._kept is None else self._kept.select(*[quote(c) for c in self._kept.columns if c in given or c not in self._stale])
+            kept.write.parquet(beside(path, name))
+            whole["rows"] = {"path": name, "columns": given}
+        write_text(path, json.dumps(whole, indent=2))
 
     @classmethod
     def load(cls, path: str | os.PathLike, **options: Any) -> FinancialModel:
-        with open(path, encoding="utf-8") as f:
-            obj = json.load(f)
+        path = os.fspath(path)
+        obj = json.loads(read_text(path))
         m = cls.from_ir(Graph.from_json(obj["module"]), **options)
         m._values |= obj["values"]
+        if saved := obj.get("rows"):
+            df = m.spark.read.parquet(beside(path, saved["path"]))
+            m.bind(df.select(*map(quote, saved["columns"])))
+            if len(df.columns) > len(saved["columns"]):
+                m._kept = df
         return m
 
     def apply_intent(self, payload: Any) -> Any:

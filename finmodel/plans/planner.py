@@ -1,12 +1,13 @@
 """Which way a graph is evaluated.
 
 ``columns`` is the default: generated code over all rows. ``arrow`` runs the graph over NumPy batches (``mapInPandas``); it is
-for graphs that call Python kernels, or with so many nodes that generated code stops paying.
+for graphs that call Python kernels, or with so many nodes that generated code stops paying. Users add strategies of their own:
+a subclass of ``Strategy`` decides how nodes become columns, one of ``Batches`` only how arrays are prepared, combined and handed back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from ..errors import BackendError
 from ..functions.kernels import Registry
 from ..functions.sql import NumericPolicy
 from ..graph import Graph
+from ..types import FinType
+from . import columns
 
 MAX_COLUMN_NODES = 5_000
 
@@ -34,13 +37,52 @@ class Choice:
     rationale: str
 
 
-class Planner:
-    names = ("columns", "arrow")
+class Strategy:
+    """A way to add computed nodes to rows; ``name`` tells strategies apart."""
+
+    name = ""
+
+    def add_nodes(self, df: DataFrame, g: Graph, names: Iterable[str], types: dict[str, FinType], kernels: Registry, policy: NumericPolicy) -> DataFrame:
+        """``df`` with a column for each computed node of ``names``; every other node that they need is a column already."""
+        raise NotImplementedError
+
+
+class Columns(Strategy):
+    """Generated code: one projection per level of the graph."""
 
-    def get(self, name: str) -> str:
-        if name not in self.names:
-            raise BackendError(f"unknown strategy {name!r}; there are {', '.join(self.names)}")
-        return name
+    name = "columns"
+
+    def add_nodes(self, df, g, names, types, kernels, policy):
+        return columns.add_nodes(df, g, names, types, kernels, policy)
+
+
+class Planner:
+    """The strategies by name, and which one suits a graph."""
+
+    def __init__(self, *strategies: Strategy) -> None:
+        self._strategies: dict[str, Strategy] = {}
+        for s in (Columns(), Batches(), *strategies):
+            self.register(s)
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(self._strategies)
+
+    def register(self, strategy: Strategy, overwrite: bool = False) -> Strategy:
+        if not isinstance(strategy, Strategy) or not strategy.name:
+            raise BackendError("a strategy is an instance of Strategy with a name")
+        if strategy.name in self._strategies and not overwrite:
+            raise BackendError(f"strategy {strategy.name!r} exists already")
+        self._strategies[strategy.name] = strategy
+        return strategy
+
+    def get(self, strategy: str | Strategy) -> Strategy:
+        """The strategy of a name; a strategy itself is taken as it is."""
+        if isinstance(strategy, Strategy):
+            return strategy
+        if strategy not in self._strategies:
+            raise BackendError(f"unknown strategy {strategy!r}; there are {', '.join(self.names)}")
+        return self._strategies[strategy]
 
     def choose(self, p: WorkloadProfile) -> Choice:
         if p.has_python_kernels:
@@ -81,34 +123,55 @@ def _numpy_kernels(policy: NumericPolicy) -> dict:
     }
 
 
-def add_nodes_arrow(df: DataFrame, g: Graph, names, kernels: Registry, policy: NumericPolicy) -> DataFrame:
-    """As ``columns.add_nodes`` for scalar nodes, over Arrow batches of rows."""
-    order = [n for n in g.topo_order() if n in set(names) and g.nodes[n].kind == "computed"]
-    exprs = [(n, g.nodes[n].expr) for n in order]
-    user = {k: kernels.get(k).python for k in kernels.names() if kernels.get(k).python is not None}
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in order)])
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        table = _numpy_kernels(policy) | user
-        for pdf in batches:
-            env = {c: pdf[c].to_numpy() for c in pdf.columns}
-
-            def one(e, kids, env=env):
-                if isinstance(e, X.Ref):
-                    return env[e.name]
-                if isinstance(e, X.Lit):
-                    return e.value
-                if isinstance(e, X.Call):
-                    if e.func not in table:
-                        raise BackendError(f"kernel {e.func!r} has no batch form")
-                    return table[e.func](*kids)
-                return table["__div__"](*kids) if e.op == "/" else {"+": np.add, "-": np.subtract, "*": np.multiply}[e.op](*kids)
-
-            for n, e in exprs:
-                env[n] = np.broadcast_to(np.asarray(X.fold(e, one), float), (len(pdf),))
-                pdf[n] = env[n]
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+class Batches(Strategy):
+    """Scalar nodes over Arrow batches of rows. Subclasses may change any of the four steps; instances travel to the executors."""
+
+    name = "arrow"
+
+    def prepare(self, values):
+        """A column's array before nodes see it."""
+        return values
+
+    def finalize(self, values):
+        """A node's array before it becomes a column."""
+        return values
+
+    def binary(self, op: str, a, b, table: dict):
+        if op == "/":
+            return table["__div__"](a, b)
+        return a + b if op == "+" else a - b if op == "-" else a * b
+
+    def call_kernel(self, name: str, args: list, table: dict):
+        """``table`` has the batch form of each kernel by name."""
+        if name not in table:
+            raise BackendError(f"kernel {name!r} has no batch form")
+        return table[name](*args)
+
+    def add_nodes(self, df, g, names, types, kernels, policy):
+        wanted = set(names)
+        exprs = [(n, g.nodes[n].expr) for n in g.topo_order() if n in wanted and g.nodes[n].kind == "computed"]
+        user = {k: kernels.get(k).python for k in kernels.names() if kernels.get(k).python is not None}
+        read = {r for _, e in exprs for r in X.free_refs(e)}.intersection(df.columns)
+        schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n, _ in exprs)])
+
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pandas as pd
+
+            table = _numpy_kernels(policy) | user
+            for pdf in batches:
+                env, out = {c: self.prepare(pdf[c].to_numpy()) for c in read}, {}
+
+                def one(e, kids, env=env):
+                    if isinstance(e, X.Ref):
+                        return env[e.name]
+                    if isinstance(e, X.Lit):
+                        return e.value
+                    return self.call_kernel(e.func, kids, table) if isinstance(e, X.Call) else self.binary(e.op, *kids, table)
+
+                for n, e in exprs:
+                    env[n] = X.fold(e, one)
+                    out[n] = np.broadcast_to(np.asarray(self.finalize(env[n]), float), (len(pdf),))
+                yield pd.concat([pdf, pd.DataFrame(out, index=pdf.index)], axis=1)
+
+        return df.mapInPandas(run, schema)

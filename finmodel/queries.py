@@ -573,3 +573,6 @@ def nl_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("event_pressure", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_pressure(lens.table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import queries_surface  # noqa: E402, F401  (registers the rest)
