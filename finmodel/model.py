@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -26,12 +26,13 @@ from .functions.sql import NumericPolicy, literal, quote
 from .graph import Graph, Node
 from .operators.changes import linspace, parse_change, resolve_change, scenario_rows, scenario_sql
 from .plans.columns import clean_inputs, input_sql
-from .plans.planner import Planner, Strategy, WorkloadProfile, uses_python
+from .plans.planner import Batches, Planner, Strategy, WorkloadProfile, batchable, depth, uses_python
 from .sources.files import beside, read_text, write_text
 from .types import SCALAR, FinType, money, parse_type
 from .types import series as series_type
 
 SCENARIO, SCENARIO_ID = "scenario", "scenario_id"
+DRIVER = "row"  #: how the one row of a model without bound rows is computed
 
 
 def _literal(value: Any) -> str:
@@ -49,9 +50,11 @@ class RunStats:
 
 @dataclass
 class Evaluation:
-    """``frame`` has the key columns and the targets; ``recomputed`` and ``reused`` are computed nodes in topological order."""
+    """``frame`` has the key columns and the targets; ``recomputed`` and ``reused`` are computed nodes in topological order.
 
-    frame: DataFrame
+    Where the values are known already, ``source`` makes the frame when it is asked for."""
+
+    source: DataFrame | Callable[[], DataFrame]
     targets: list[str]
     recomputed: list[str]
     reused: list[str]
@@ -59,6 +62,12 @@ class Evaluation:
     batch: bool = False
     known: dict[str, Any] | None = None
 
+    @property
+    def frame(self) -> DataFrame:
+        if callable(self.source):
+            self.source = self.source()
+        return self.source
+
     @property
     def values(self) -> dict[str, Any]:
         """The targets as Python values, for models of one row: floats, arrays for series, and arrays over a batch's scenarios."""
@@ -213,7 +222,13 @@ class FinancialModel:
     # -- evaluation
     def _build(self, df: DataFrame, names: set[str], backend: str | Strategy | None) -> tuple[DataFrame, str]:
         """``df`` with the computed nodes of ``names``, by the strategy that is asked for or suits them."""
-        asked = backend or self.backend or self.planner.choose(WorkloadProfile(1, len(names), uses_python(self.module, names, self.kernels))).name
+        asked = backend or self.backend
+        if asked is None:
+            python = uses_python(self.module, names, self.kernels)
+            size, deep = len(names), depth(self.module, names)
+            if not python and self.planner.choose(WorkloadProfile(1, size, False, deep)).name != "columns" and not batchable(self.module, names, self.types(), self.kernels):
+                size = deep = 0  # series and folds only have columns
+            asked = self.planner.choose(WorkloadProfile(1, size, python, deep)).name
         strategy = self.planner.get(asked)
         return strategy.add_nodes(df, self.module, names, self.types(), self.kernels, self.policy), strategy.name
 
@@ -275,16 +290,62 @@ class FinancialModel:
         self.types()
         needed = self.module.closure(wanted)
         order = self._computed(needed)
+        if self._rows is None:  # one row: its values are computed once and kept
+            recomputed = [n for n in order if n not in self._row]
+            if self._on_driver(recomputed, backend):
+                self._row |= Batches().row(self.module, recomputed, self._known_row(recomputed, {}), self.policy)
+                name = DRIVER
+            else:
+                df, _, name = self._base_frame(needed, recomputed, backend=backend)
+                if recomputed:
+                    row = df.select(*[F.col(quote(n)) for n in recomputed]).toArrow()
+                    self._row |= {n: row.column(k)[0].as_py() for k, n in enumerate(recomputed)}
+            fresh = set(recomputed)
+            reused = [n for n in order if n not in fresh]
+            known = {n: self._row[n] if n in self._row else self._plain(n) for n in wanted}
+            return Evaluation(self._literal_frame(known), wanted, recomputed, reused, self._account(recomputed, reused, name), known=known)
         df, rebuilt, name = self._base_frame(needed, wanted, backend=backend)
         recomputed, reused = [n for n in order if n in rebuilt], [n for n in order if n not in rebuilt]
-        stats, known = self._account(recomputed, reused, name), None
-        if self._rows is None:  # one row: its values are read once and kept
-            if recomputed:
-                row = df.select(*[F.col(quote(n)) for n in recomputed]).toArrow()
-                self._row |= {n: row.column(k)[0].as_py() for k, n in enumerate(recomputed)}
-            known = {n: self._row[n] if n in self._row else self._plain(n) for n in wanted}
-            df = self.spark.range(1).selectExpr(*[f"{_literal(known[n])} AS {quote(n)}" for n in wanted]) if wanted else df
-        return Evaluation(self._select(df, wanted, self._keys()), wanted, recomputed, reused, stats, known=known)
+        return Evaluation(self._select(df, wanted, self._keys()), wanted, recomputed, reused, self._account(recomputed, reused, name))
+
+    def _on_driver(self, names: Iterable[str], backend: str | Strategy | None) -> bool:
+        """Whether the one row of a model without bound rows needs no job: no strategy is asked for, the nodes are plain numbers, and
+        the policy raises no errors (those are Spark's)."""
+        calm = self.policy.on_div_zero != "raise" and self.policy.on_nonfinite == "ignore"
+        return self._rows is None and backend is None and self.backend is None and calm and batchable(self.module, names, self.types(), self.kernels)
+
+    def _known_row(self, names: Iterable[str], override: dict[str, float]) -> dict[str, float]:
+        """Base values, with overrides, of all that the nodes refer to and that is not among them."""
+        own, env = set(names), {}
+        for n in own:
+            for r in self.module.dependencies(n):
+                if r not in own and r not in env:
+                    env[r] = override[r] if r in override else self._row[r] if r in self._row else self._plain(r)
+        return env
+
+    def _literal_frame(self, known: dict[str, Any]) -> Callable[[], DataFrame]:
+        """The one row of known values, as a plan that is made when it is asked for."""
+
+        def make() -> DataFrame:
+            one = self.spark.range(1)
+            return self._select(one.selectExpr(*[f"{_literal(v)} AS {quote(n)}" for n, v in known.items()]) if known else one, list(known), [])
+
+        return make
+
+    def _one_row(self, override: dict[str, float], wanted: list[str]) -> Evaluation | None:
+        """The targets of a model of one row with some inputs overridden, without a job; None where that is not possible."""
+        needed, dirty = self.module.closure(wanted), self.module.cone(override)
+        order = self._computed(needed)
+        changed = [n for n in order if n in dirty]
+        missing = [n for n in order if n not in dirty and n not in self._row]
+        if not all(isinstance(v, float) for v in override.values()) or not self._on_driver([*changed, *missing], None):
+            return None
+        self._row |= Batches().row(self.module, missing, self._known_row(missing, {}), self.policy)
+        got = override | Batches().row(self.module, changed, self._known_row(changed, override), self.policy)
+        known = {n: got[n] if n in got else self._row[n] if n in self._row else self._plain(n) for n in wanted}
+        again = set(missing)
+        recomputed, reused = [n for n in order if n in dirty or n in again], [n for n in order if n not in dirty and n not in again]
+        return Evaluation(self._literal_frame(known), wanted, recomputed, reused, self._account(recomputed, reused, DRIVER), known=known)
 
     def _plain(self, name: str) -> Any:
         """The value of an input or constant, as plans see it."""
@@ -329,6 +390,9 @@ class FinancialModel:
         if not specs:
             return self.evaluate(targets, backend=backend)
         wanted = self.module.targets(targets)
+        if backend is None and self._rows is None and not any(self.types()[n].is_series for n in specs):
+            if (got := self._one_row({n: float(c.apply(self._plain(n))) for n, c in specs.items()}, wanted)) is not None:
+                return got
         override = {n: c.sql(quote(n)) for n, c in specs.items()}
         frame, recomputed, reused, name = self._scenario(None, override, wanted, self._keys(), backend)
         return Evaluation(frame, wanted, recomputed, reused, self._account(recomputed, reused, name))
@@ -391,6 +455,9 @@ class FinancialModel:
         self._require_inputs(override)
         self._ensure_base()
         wanted = self.module.targets(targets)
+        plain = {n: 0.0 if v is None else v for n, v in state.values.items()}
+        if self._rows is None and all(isinstance(v, (int, float)) for v in plain.values()) and (got := self._one_row({n: float(v) for n, v in plain.items()}, wanted)) is not None:
+            return got
         frame, recomputed, reused, name = self._scenario(None, override, wanted, self._keys(), None)
         return Evaluation(frame, wanted, recomputed, reused, self._account(recomputed, reused, name))
 

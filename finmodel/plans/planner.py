@@ -1,7 +1,8 @@
 """Which way a graph is evaluated.
 
 ``columns`` is the default: generated code over all rows. ``arrow`` runs the graph over NumPy batches (``mapInPandas``); it is
-for graphs that call Python kernels, or with so many nodes that generated code stops paying. Users add strategies of their own:
+for graphs that call Python kernels, or so large or deep that generated code stops paying. A model without bound rows is one row that
+the driver knows: its plain numbers are computed there, without a job (``Batches.row``). Users add strategies of their own:
 a subclass of ``Strategy`` decides how nodes become columns, one of ``Batches`` only how arrays are prepared, combined and handed back.
 """
 
@@ -15,13 +16,13 @@ from pyspark.sql import types as T
 
 from .. import expr as X
 from ..errors import BackendError
-from ..functions.kernels import Registry
+from ..functions.kernels import Registry, default_registry
 from ..functions.sql import NumericPolicy
 from ..graph import Graph
 from ..types import FinType
 from . import columns
 
-MAX_COLUMN_NODES = 5_000
+MAX_COLUMN_NODES, MAX_COLUMN_DEPTH = 5_000, 400
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,7 @@ class WorkloadProfile:
     scenario_size: int = 1
     node_count: int = 0
     has_python_kernels: bool = False
+    expression_depth: int = 0
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,8 @@ class Planner:
             return Choice("arrow", "a kernel is a Python function")
         if p.node_count > MAX_COLUMN_NODES:
             return Choice("arrow", f"{p.node_count} nodes are more than {MAX_COLUMN_NODES}")
+        if p.expression_depth > MAX_COLUMN_DEPTH:
+            return Choice("arrow", f"an expression of depth {p.expression_depth} is deeper than {MAX_COLUMN_DEPTH}")
         return Choice("columns", "generated code over rows")
 
 
@@ -100,6 +104,22 @@ def uses_python(g: Graph, names, kernels: Registry) -> bool:
     return any(found)
 
 
+def depth(g: Graph, names) -> int:
+    return max((X.fold(g.nodes[n].expr, lambda _, kids: 1 + max(kids, default=0)) for n in names if g.nodes[n].kind == "computed"), default=0)
+
+
+def batchable(g: Graph, names, types: dict[str, FinType], kernels: Registry) -> bool:
+    """Whether the nodes are plain numbers of plain numbers, by operators and built-in kernels that have a batch form."""
+    table, built_in = _numpy_kernels(NumericPolicy()), default_registry()
+
+    def one(e, kids) -> bool:
+        if isinstance(e, X.Ref):
+            return types[e.name].inner is None
+        return all(kids) and (not isinstance(e, X.Call) or (e.func in table and kernels.get(e.func) is built_in.get(e.func)))
+
+    return all(X.fold(g.nodes[n].expr, one) for n in names if g.nodes[n].kind == "computed")
+
+
 #: Element-wise built-ins over NumPy, for graphs that mix them with Python kernels.
 def _numpy_kernels(policy: NumericPolicy) -> dict:
     import numpy as np
@@ -175,3 +195,24 @@ class Batches(Strategy):
                 yield pd.concat([pdf, pd.DataFrame(out, index=pdf.index)], axis=1)
 
         return df.mapInPandas(run, schema)
+
+    def row(self, g: Graph, order: list[str], env: dict[str, float], policy: NumericPolicy) -> dict[str, float]:
+        """The nodes of ``order``, each after those it needs, for the one row whose other values are ``env``. No job runs."""
+        import numpy as np
+
+        nothing = float("nan") if policy.on_div_zero == "nan" else 0.0
+        table, out = _numpy_kernels(policy) | {"__div__": lambda a, b: a / b if b else nothing}, {}
+
+        def one(e, kids):
+            if isinstance(e, X.Ref):
+                return out[e.name] if e.name in out else env[e.name]
+            if isinstance(e, X.Lit):
+                return e.value
+            if isinstance(e, X.Call):
+                return self.call_kernel(e.func, kids, table)
+            return -kids[1] if e.op == "-" and e.left == X.Lit(0.0) else self.binary(e.op, *kids, table)
+
+        with np.errstate(all="ignore"):
+            for n in order:
+                out[n] = float(X.fold(g.nodes[n].expr, one))
+        return out

@@ -99,3 +99,47 @@ def test_benchmark_on_awkward_rows(spark):
     assert got["1"]["outcome"] == "refused" and got["1"]["ops"] == 0 and got["3"]["outcome"] == "executed" and not got["3"]["exact"]
     assert judged["metrics"].where("difficulty = 'core'").collect()[0]["operation_accuracy"] is None
     assert nl.benchmark(spark.createDataFrame([], schema), _instruction_model(spark))["examples"].count() == 0
+
+
+def test_one_row_without_a_job_equals_generated_code(spark):
+    """Every kernel with a batch form, signs, zero divisors and non-finite values: the driver's row against columns."""
+    import math
+
+    from finmodel import NumericPolicy, default_registry
+    from finmodel.plans.planner import _numpy_kernels
+
+    names = sorted(k for k in _numpy_kernels(NumericPolicy()) if not k.startswith("__"))
+    inputs = ("a", "b", "c", "d")
+    for policy in ("nan", "zero"):
+        for values in ((3.0, 2.0, 4.0, 1.5), (0.0, 0.0, 0.0, 0.0), (-5.0, 0.0, 2.0, 1e300), (math.nan, 1.0, math.inf, -1.0)):
+            m = FinancialModel(policy=NumericPolicy(on_div_zero=policy), spark=spark)
+            for n, v in zip(inputs, values, strict=True):
+                m.input(n, v)
+            for name in names:
+                m.define(f"k_{name}", f"{name}({', '.join(inputs[: default_registry().get(name).arity or 2])})", output=True)
+            m.define("minus", "-a", output=True).define("mixed", "(a - b) / c + d * (a / b)", output=True)
+            row = m.evaluate()
+            columns = m.set_backend("columns").evaluate()
+            assert (row.stats.backend, columns.stats.backend) == ("row", "columns") and row.recomputed == columns.recomputed
+            for n, v in columns.values.items():
+                assert row[n] == pytest.approx(v, rel=1e-12, nan_ok=True), (policy, values, n)
+            m.set_backend(None)
+            for change in ({"a": "+10%"}, {"b": {"delta": 2}, "c": 7}):
+                got, want = m.what_if(change), m.what_if(change, backend="columns")
+                assert (got.stats.backend, want.stats.backend) == ("row", "columns") and (got.recomputed, got.reused) == (want.recomputed, want.reused)
+                for n, v in want.values.items():
+                    assert got[n] == pytest.approx(v, rel=1e-12, nan_ok=True), (policy, values, change, n)
+                read = got.frame.collect()[0].asDict()
+                assert list(read) == got.targets and all(read[n] == pytest.approx(got[n], nan_ok=True) for n in read)
+
+
+def test_large_and_deep_graphs(spark):
+    from finmodel.plans.synthetic import segmented
+
+    m = segmented(1000, 5)
+    want = sum((1_000_000.0 + 1000 * i) * (1.05 * (1.05 * (1.05 - 0.01) - 0.01)) for i in range(1000))
+    assert m.evaluate()["total"] == pytest.approx(want)
+    r = m.set("seg0_in", 2e6).evaluate()
+    assert len(r.recomputed) == 6 and r["total"] == pytest.approx(want + 1e6 * (1.05 * (1.05 * (1.05 - 0.01) - 0.01)))
+    bound = segmented(450, 1).bind(spark.createDataFrame([(1, 5.0)], "k int, seg0_in double")).evaluate()
+    assert bound.stats.backend == "arrow" and bound.frame.collect()[0]["total"] == pytest.approx(sum(1.05 * (1_000_000.0 + 1000 * i) for i in range(1, 450)) + 5.25)
